@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.bpe_tree import op9_bpe_tree
 from corpusloom.llm.quality_nbsvm import op10_quality_nbsvm
+from corpusloom.llm.secrets_crf import op7_secrets_crf
 from corpusloom.llm.token_counts import op5_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_token_counts": op5_token_counts,
+        "op7_secrets_crf": op7_secrets_crf,
         "op9_bpe_tree": op9_bpe_tree,
         "op10_quality_nbsvm": op10_quality_nbsvm,
     }
