@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.bpe_tree import op9_bpe_tree
 from corpusloom.llm.decontaminate import op6_decontaminate
+from corpusloom.llm.ngram_join import op1_ngram_join
 from corpusloom.llm.quality_nbsvm import op10_quality_nbsvm
 from corpusloom.llm.secrets_crf import op7_secrets_crf
 from corpusloom.llm.token_counts import op5_token_counts
@@ -15,6 +16,7 @@ from corpusloom.llm.token_counts import op5_token_counts
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op5_token_counts": op5_token_counts,
         "op6_decontaminate": op6_decontaminate,
         "op7_secrets_crf": op7_secrets_crf,
