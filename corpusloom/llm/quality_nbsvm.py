@@ -219,6 +219,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(map_rows(["doc_id", "text"], schema, make), "doc_id long, score double")
 
 
+def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score the threshold or more; all columns stay, and so do null texts that score it."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        m, shapes = shared.value, _Shapes()
+        for batch in batches:
+            keep = [m.score(t, shapes) >= threshold for t in batch.column(at).to_pylist()]
+            if any(keep):
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose crc32 of the id as text has remainder 2 by 4; never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
