@@ -11,6 +11,7 @@ from corpusloom.llm.decontaminate import op6_decontaminate
 from corpusloom.llm.ngram_join import op1_ngram_join
 from corpusloom.llm.quality_nbsvm import op10_quality_nbsvm
 from corpusloom.llm.secrets_crf import op7_secrets_crf
+from corpusloom.llm.syncmers import op8_syncmers
 from corpusloom.llm.token_counts import op5_token_counts
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_decontaminate": op6_decontaminate,
         "op7_secrets_crf": op7_secrets_crf,
+        "op8_syncmers": op8_syncmers,
         "op9_bpe_tree": op9_bpe_tree,
         "op10_quality_nbsvm": op10_quality_nbsvm,
     }
