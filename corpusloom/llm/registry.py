@@ -11,6 +11,7 @@ from corpusloom.llm.decontaminate import op6_decontaminate
 from corpusloom.llm.ngram_join import op1_ngram_join
 from corpusloom.llm.quality_nbsvm import op10_quality_nbsvm
 from corpusloom.llm.secrets_crf import op7_secrets_crf
+from corpusloom.llm.shards import op3_sharding
 from corpusloom.llm.syncmers import op8_syncmers
 from corpusloom.llm.token_counts import op5_token_counts
 
@@ -18,6 +19,7 @@ from corpusloom.llm.token_counts import op5_token_counts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op3_sharding": op3_sharding,
         "op5_token_counts": op5_token_counts,
         "op6_decontaminate": op6_decontaminate,
         "op7_secrets_crf": op7_secrets_crf,
