@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm import licenses, url_templates
 from corpusloom.llm.bpe_tree import op9_bpe_tree
 from corpusloom.llm.decontaminate import op6_decontaminate
 from corpusloom.llm.ngram_join import op1_ngram_join
@@ -19,7 +20,9 @@ from corpusloom.llm.token_counts import op5_token_counts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_url_templates": url_templates.op2_url_templates,
         "op3_sharding": op3_sharding,
+        "op4_licenses": licenses.op4_licenses,
         "op5_token_counts": op5_token_counts,
         "op6_decontaminate": op6_decontaminate,
         "op7_secrets_crf": op7_secrets_crf,
@@ -30,4 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_url_templates": url_templates.ORACLE,
+        "op4_licenses": licenses.ORACLE,
+    }
