@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_rows, prepare, table
+from corpusloom.llm.common import map_rows, prepare, smallest_hashes, table
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -267,10 +267,14 @@ def scan(text: str, weights: dict, trans: dict) -> tuple[list, list]:
 
 def sample(docs: DataFrame, limit: int = TRAIN_DOCS) -> list[str]:
     """At most limit texts of up to TRAIN_TEXT_BYTES: the rows of smallest hash, half of them with a cue."""
-    short = docs.where(F.octet_length("text") <= TRAIN_TEXT_BYTES).select("text", F.xxhash64("text").alias("h"))
+    short = docs.where(F.octet_length("text") <= TRAIN_TEXT_BYTES).select("text")
     cue = F.col("text").rlike(r"[A-Za-z0-9+/_.=-]{16,}") & F.col("text").rlike(r"[0-9][a-z]|[A-Z][0-9]")
-    rows = short.where(cue).orderBy("h").limit(limit // 2).collect() + short.orderBy("h").limit(limit // 2).collect()
-    return list(dict.fromkeys(r.text for r in rows))
+    texts: list[str] = []
+    for rows in (short.where(cue), short):
+        near = smallest_hashes(rows, F.col("text"), limit // 2)
+        # copies of one text are one row before they reach the driver
+        texts += [r.text for r in near.groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).orderBy("h").limit(limit // 2).collect()]
+    return list(dict.fromkeys(texts))
 
 
 def train(docs: DataFrame) -> tuple[dict, dict]:
