@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_rows, prepare, table
+from corpusloom.llm.common import map_rows, prepare, smallest_hashes, table
 
 #: Bound on the labelled rows that the model is fitted on.
 MAX_TRAIN = 6000
@@ -188,7 +188,7 @@ def sample(texts: DataFrame, labels: DataFrame, usable: Column | None = None, ma
     picked = labels.where("doc_id is not null and quality in (0, 1)")
     picked = (picked if usable is None else picked.where(usable)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # first bounded by keys alone, then joined by broadcast: max_train rows of two numbers
-    keys = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    keys = smallest_hashes(picked, F.col("doc_id"), max_train).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sized = texts.select("doc_id", "text").join(F.broadcast(keys), "doc_id")
     sized = sized.withColumn("text", F.when(F.octet_length("text") <= MAX_TRAIN_BYTES // 16, F.col("text")))
     rows, total = [], 0
