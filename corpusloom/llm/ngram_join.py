@@ -12,7 +12,7 @@ with the first of its group: as many pairs as rows. Round two pairs what a bucke
 different components. No link that could join two components is skipped, whatever the size of a bucket.
 
 The order: shingles that repeat within some block of documents are counted over all documents; those of HEAVY_DF
-documents or more (the most frequent MAX_HEAVY of them, 16 MB) come last, by frequency. Any order gives the same
+documents or more (the most frequent MAX_HEAVY of them, 16 MB, or fewer where many have one count) come last, by frequency. Any order gives the same
 result; a better one gives fewer pairs.
 
 Two 64-bit hashes may collide: the chance for one pair of sets of a thousand shingles each is below 1e-13.
@@ -115,7 +115,18 @@ def frequent(docs: DataFrame, words: int, heavy_df: int = HEAVY_DF, most: int =
                     held, size, seen = [], 0, set()
         yield counted()
 
-    top = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= heavy_df).orderBy(F.desc("n"), "h").limit(most).toPandas()
+    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= heavy_df)
+    counts = materialise(counts, "frequent")
+    # the least count from which all fit, in steps of a ninth; a histogram of a few hundred rows
+    step = F.floor(F.log2("n") * 6)
+    held, least = 0, 1 << 62
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
+        held += r["count"]
+        if held > most:
+            break
+        least = r.step
+    top = counts.where(step >= least).toPandas()
+    delete(counts)
     h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
