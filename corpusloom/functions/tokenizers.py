@@ -154,7 +154,7 @@ def ranks_from_json(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
     model = data["model"]
-    if model.get("type") != "BPE" or model.get("byte_fallback"):
+    if model.get("type") != "BPE" or model.get("byte_fallback") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
         raise ValueError("only byte-level BPE without byte fallback can be converted")
     added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
     byte_of = {c: b for b, c in byte_alphabet().items()}
