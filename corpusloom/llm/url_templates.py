@@ -10,7 +10,8 @@ longest wins. Pages that a rule fits are the labelled ones. All other pages are
 * a template is rejected if its smoothed share of blocked labels is BLOCK_FROM or more. The share is smoothed towards
   that of the same template over all hosts, which is smoothed towards that of all labels.
 
-Pages are first summed by host and path; only sums are shuffled and joined, with partial sums before each shuffle.
+Pages are first summed by host and path; only sums are shuffled and joined, with partial sums before each shuffle. Each
+level of the tree is written to the shared folder, so that the plan does not double with every level.
 Segments beyond DEPTH count as one tail.
 
 Edge cases: a null url or one without "://" has an empty host and path, which is a host like any other; a path without
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import delete, materialise, table
 
 #: (verdict, host, path) of the query.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -60,8 +61,10 @@ def first_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Template of each (host, segs) row with its sums n, nl (labelled) and nb (of these, blocked)."""
-    rows = paths.withColumn("template", F.lit(""))
+    # each level is written once: a plan of all levels would be read again by every join above it
+    rows = materialise(paths.withColumn("template", F.lit("")), "paths")
     for level in range(1, depth + 1):
+        before = rows
         seg = F.get("segs", F.lit(level - 1))
         rows = rows.withColumn("seg", seg)
         child = rows.where("seg is not null").groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "nl", "nb")))
@@ -75,6 +78,8 @@ def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
         rows = rows.join(kept, ["host", "template", "seg"], "left")
         name = F.when(F.col("literal"), F.replace("seg", F.lit("*"), F.lit("%2A"))).otherwise(F.lit("*"))
         rows = rows.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name))).drop("seg", "literal")
+        rows = materialise(rows, f"level-{level}")
+        delete(before)
     return rows.withColumn("template", F.when(F.size("segs") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
 
 
@@ -88,6 +93,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, depth: i
     rows = rows.withColumn("found", found).withColumn("segs", segs)
     paths = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("found").alias("nl"), F.sum(F.when(F.col("found.verdict") == "block", 1).otherwise(0)).alias("nb"))
     tree = templates(paths, depth)
+    tree = materialise(tree, "tree")
     local = tree.groupBy("host", "template").agg(F.sum("nl").alias("nl"), F.sum("nb").alias("nb"))
     shared = local.groupBy("template").agg(F.sum("nl").alias("gl"), F.sum("nb").alias("gb"))
     total = rows.agg(F.count("found").alias("l"), F.coalesce(F.sum(F.when(F.col("found.verdict") == "block", 1).otherwise(0)), F.lit(0)).alias("b")).first()
