@@ -54,6 +54,8 @@ CUES = ("licen", "copyright", "redistribut", "hereby granted", "public domain",
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 FROM = 0.7
 MAX_TEMPLATES = 1000
+#: Distinct licence headers up to which they are broadcast to the files' headers.
+MAX_BROADCAST_HEADERS = 100_000
 WORD = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
 
 
@@ -114,7 +116,9 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     # written once, so that the row numbers stay as they are
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "files")
     headers = rows.where("headers is not null").select("row", "words", F.explode("headers").alias("header"))
-    found = headers.join(similarities(headers, templates).where(F.col("similarity") >= threshold), "header")
+    known = materialise(similarities(headers, templates).where(F.col("similarity") >= threshold), "headers")
+    # the header of a third of all files is one row here; where the table is too large, a skewed join splits it
+    found = headers.join(F.broadcast(known) if known.count() <= MAX_BROADCAST_HEADERS else known, "header")
     share = F.size(F.regexp_extract_all("header", F.lit(WORD), F.lit(0))) / F.col("words")
     own = found.groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("licence").alias("l"), (-share).alias("share"))).alias("best")).select("row", F.col("best.l").alias("own_licence"), (-F.col("best.s")).alias("similarity"), (-F.col("best.share")).alias("share"))
     rows = materialise(rows.drop("headers", "words").join(own, "row", "left").withColumn("is_file", F.col("own_licence").isNotNull() & (F.col("named") | (F.col("share") >= 0.5))), "own")
