@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_rows, prepare, table
 
-RATE = 0.05
+RATE = 0.08
 MIN_CHARS = 32
 BLOCK_CHARS = 2_000_000
 
