@@ -63,3 +63,15 @@ def test_rows(spark):
     assert D.clean(docs, bench).count() == 4
     assert D.leaks(docs.where("false"), bench).count() == 0 and D.leaks(docs, bench.where("false")).count() == 0
     assert D.clean(docs, bench.where("false")).count() == len(rows)
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    items = [(i, f"item number {i} has words of its own, as {i * 7919} and {i * 104729} show") for i in range(30)]
+    bench = spark.createDataFrame([*items, (99, None)], "item_id long, text string")
+    assert [len(b) for b in D.blocks(bench, 200)][:2] == [3, 3] and sum(len(b) for b in D.blocks(bench, 200)) == 30
+    docs = spark.createDataFrame([(i, f"Some text. {t.upper()} More text." if i % 3 else "Some text alone.") for i, t in items], "doc_id long, text string")
+    whole = sorted(map(tuple, D.leaks(docs, bench).collect()))
+    small = D.blocks
+    monkeypatch.setattr(D, "blocks", lambda b: small(b, 400))
+    assert sorted(map(tuple, D.leaks(docs, bench).collect())) == whole and len(whole) >= 20
+    assert D.clean(docs, bench).count() == 10
