@@ -156,10 +156,11 @@ def block_inputs_labels(spark, sf_dir):
     return packing.blocks(rows, 20)
 
 
-@query(f"""with {D}, h as (select subset, line_idx, t, strlen(t) as n from f where status = 'written') select subset, line_idx, substr(encode(t)::varchar, 1, 0) as nothing, n::bigint as n, (n // {SHARD})::bigint as full_shards, least(n, 32)::bigint as preview from h""")
+@query("""with t as (select vec_id, list_transform(embedding, lambda x: (round(x::double * 1000))::bigint) as t from embeddings) select vec_id, t[1:32] as head, len(t)::bigint as tokens from t where vec_id = (select min(vec_id) from t)""")
 def shard_preview(spark, sf_dir):
-    rows = _docs(spark, sf_dir).where("status = 'written'")
-    return rows.select("subset", "line_idx", F.lit("").alias("nothing"), F.col("n_tokens").alias("n"), F.floor(F.col("n_tokens") / SHARD).alias("full_shards"), F.least("n_tokens", F.lit(32)).cast("long").alias("preview"))
+    """The first 32 tokens of the first row of a token stream."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("t"))
+    return rows.orderBy("vec_id").limit(1).select("vec_id", F.slice("t", 1, 32).alias("head"), F.size("t").cast("long").alias("tokens"))
 
 
 @query(f"""with {D} select count(*) as count, min(n_tokens)::bigint as min, max(n_tokens)::bigint as max, round(avg(n_tokens), 6) as mean, round(median(n_tokens), 6) as median, round(stddev_pop(n_tokens), 6) as std,
