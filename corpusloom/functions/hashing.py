@@ -19,9 +19,9 @@ def threshold(fraction: float) -> int:
     return int(fraction * MODULUS)
 
 
-def address_key(seed: int, *parts: Column) -> Column:
-    """The text that is hashed: seed and parts of the document address, joined by a bar."""
-    return F.concat_ws("|", F.lit(str(seed)), *(p.cast("string") for p in parts))
+def address_key(seed: int | None, *parts: Column) -> Column:
+    """The text that is hashed: the seed, if any, and parts of the document address, joined by a bar."""
+    return F.concat_ws("|", *([] if seed is None else [F.lit(str(seed))]), *(p.cast("string") for p in parts))
 
 
 def md5_bucket(key: Column) -> Column:

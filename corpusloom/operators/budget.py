@@ -28,8 +28,8 @@ def doc_limit(docs: DataFrame, limit: int, order: str = "line_idx", major: list[
 
 
 def hash_split(docs: DataFrame, fraction: float, seed: int, key: list[str], profile: str = "native") -> DataFrame:
-    """Adds bucket and candidate (for validation) from the hash of the seed and the key columns."""
-    text = hashing.address_key(seed, *(F.col(k) for k in key))
+    """Adds bucket and candidate (for validation) from the hash of the key columns; the native profile hashes the seed too."""
+    text = hashing.address_key(seed if profile == "native" else None, *(F.col(k) for k in key))
     bucket = hashing.md5_bucket(text) if profile == "native" else hashing.blake2b_bucket(text)
     return docs.withColumn("bucket", bucket).withColumn("candidate", F.col("bucket") < hashing.threshold(fraction))
 

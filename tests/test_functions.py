@@ -34,6 +34,8 @@ def test_hash_profiles(spark):
         k = f"9|{r.s}|{r.i}".encode()
         assert r.m == int(hashlib.md5(k).hexdigest()[:15], 16) % 10**6 and r.b == int.from_bytes(hashlib.blake2b(k, digest_size=8).digest(), "big") % 10**6
         assert r.x == hashing.sample_seed(3, r.s)
+    row = budget.hash_split(spark.createDataFrame([("sub", "s0", 7, "é" * 3)], "subset string, shard string, line_idx long, head string"), 0.5, 9, ["subset", "shard", "line_idx", "head"], "conformance").first()
+    assert row.bucket == int.from_bytes(hashlib.blake2b("sub|s0|7|ééé".encode(), digest_size=8).digest(), "big") % 10**6 and row.candidate == (row.bucket < 500_000)
     assert hashing.threshold(0.000249) == 248 and hashing.threshold(0) == 0 and hashing.threshold(1) == 10**6
 
 
