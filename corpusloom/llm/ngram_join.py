@@ -44,6 +44,8 @@ MAX_HEAVY = 1 << 20
 BLOCK_SHINGLES = 4_000_000
 #: Ids up to which the documents to compare are picked by broadcast; beyond, by a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
+#: Shingles of several groups up to which prefix rows are picked by broadcast; beyond, by a shuffled join.
+MAX_BROADCAST_KEYS = 2_000_000
 
 
 class Shingler:
@@ -245,11 +247,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = materialise(sig.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("gid").alias("gid")), "classes")
     groups = classes.groupBy("gid").agg(F.min("cid").alias("rep"), F.count("*").alias("members"))
 
-    # prefix rows of shingles that more than one group has
+    # prefix rows of shingles that more than one group has; most shingles have one, so only keys are shuffled to find out
     rows = sig.where("keys is not null").select("gid", "n", F.posexplode("keys").alias("pos", "k"))
-    leads = rows.groupBy("k").agg(F.min(F.struct("pos", "n", "gid")).alias("lead"), F.max("gid").alias("most"), F.min("gid").alias("least")).where("most <> least").select("k", "lead")
-    shared = rows.join(leads, "k").select("k", "gid", "n", "pos", F.col("lead.gid").alias("lead_gid"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
+    several = materialise(rows.groupBy("k").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo <> hi").select("k"), "several")
+    side = F.broadcast(several) if several.count() <= MAX_BROADCAST_KEYS else several
+    picked = materialise(rows.join(side, "k", "left_semi").groupBy("k", "gid").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "picked")
+    delete(several)
+    leads = picked.groupBy("k").agg(F.min(F.struct("pos", "n", "gid")).alias("lead"))
+    shared = picked.join(leads, "k").select("k", "gid", "n", "pos", F.col("lead.gid").alias("lead_gid"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
     shared = materialise(shared, "shared")
+    delete(picked)
 
     # round one: each group with the leader of its bucket, each member with the first of its group
     star = shared.where((F.col("gid") != F.col("lead_gid")) & _may_link("", "lead_", percent)).select("gid", "lead_gid").distinct()
@@ -263,7 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     label = components(links).select(F.col("node").alias("cid"), F.col("label"))
     units = materialise(classes.join(label, "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label")), "units")
     split = units.select("gid", "label").distinct()
-    marked = shared.select("k", "gid", "n", "pos").distinct().join(split, "gid")
+    marked = shared.select("k", "gid", "n", "pos").join(split, "gid")
     mixed = marked.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k")
     marked = materialise(marked.join(mixed, "k"), "marked")
     one, two = (marked.select("k", *(F.col(c).alias(f"{s}_{c}") for c in ("gid", "n", "pos", "label"))) for s in "ab")
