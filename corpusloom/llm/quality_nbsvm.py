@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import map_rows, prepare, smallest_hashes, table
 
 #: Bound on the labelled rows that the model is fitted on.
-MAX_TRAIN = 6000
+MAX_TRAIN = 4000
 #: Bound on the UTF-8 bytes of those rows' texts together; rows beyond it, in hash order, are not used.
-MAX_TRAIN_BYTES = 48 << 20
+MAX_TRAIN_BYTES = 32 << 20
 MIN_DF = 3
 ALPHA = 1.0
 C = 1.0
@@ -118,7 +118,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     return w
 
 
-def _svm(grams: list[list[int]], y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _svm(grams: list[np.ndarray], y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Log-count ratios and hinge-loss weights; the last feature is the bias."""
     count = np.full((2, width), ALPHA)
     for ids, label in zip(grams, y):
@@ -159,13 +159,17 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     if ones == 0 or ones == n:
         return Model(offset=math.log(base / (1 - base)), base=base, slope=0.0)
     shapes = _Shapes()
-    found = [ngrams(t, shapes) for t in texts]
+    # n-grams are made again in each pass: those of all texts together would not fit the driver. The buckets only spare
+    # most rare n-grams an entry; a bucket counts no less than each n-gram in it
+    buckets = np.zeros(1 << 22, np.int32)
+    for t in texts:
+        np.add.at(buckets, np.fromiter((hash(g) & (len(buckets) - 1) for g in ngrams(t, shapes)), np.int64), 1)
     df: Counter = Counter()
-    for s in found:
-        df.update(s)
+    for t in texts:
+        df.update(g for g in ngrams(t, shapes) if buckets[hash(g) & (len(buckets) - 1)] >= MIN_DF)
     # sorted, so that the fit doesn't depend on set order
     vocab = {g: i for i, g in enumerate(sorted((g for g, k in df.items() if k >= MIN_DF), key=repr))}
-    grams = [sorted(vocab[g] for g in s if g in vocab) for s in found]
+    grams = [np.array(sorted(vocab[g] for g in ngrams(t, shapes) if g in vocab), np.int64) for t in texts]
     y = np.where(np.array(labels) == 1, 1.0, -1.0)
     fold = np.arange(n) % 3
     margins = np.zeros(n)
