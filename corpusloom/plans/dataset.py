@@ -51,14 +51,18 @@ class Recipe:
             raise ValueError("profile is native or conformance")
 
 
-def decisions(docs: DataFrame, mixture: DataFrame, recipe: Recipe) -> DataFrame:
-    """docs: subset, shard_ord, line_idx, parse_status, text (and what the hash key needs); mixture: subset_ord, subset,
-    target_tokens. One row for every seen line: counts, status and split, without its text."""
+def counted(docs: DataFrame, mixture: DataFrame, recipe: Recipe) -> DataFrame:
+    """docs: subset, shard, shard_ord, line_idx, parse_status, text; mixture: subset_ord, subset, target_tokens. One row a
+    line: its counts, status and whether it is a candidate for validation, without its text."""
     rows = docs.join(F.broadcast(mixture), "subset")  # the mixture is a file of subsets, read on the driver
     rows = ladder.ladder(rows, recipe.tokenizer, recipe.min_doc_tokens, recipe.max_doc_tokens)
     key = ["subset", "shard", "line_idx"] if recipe.profile == "native" else ["subset", "shard", "line_idx", "head"]
     rows = budget.hash_split(rows.withColumn("head", F.substring("text", 1, 128)), recipe.val_fraction, recipe.seed, key, recipe.profile)
-    rows = rows.select("subset_ord", "subset", "target_tokens", "shard_ord", "line_idx", "status", "n_tokens", "n_framed", "is_long", "candidate")
+    return rows.select("subset_ord", "subset", "target_tokens", "shard_ord", "line_idx", "status", "n_tokens", "n_framed", "is_long", "candidate")
+
+
+def decisions(rows: DataFrame, recipe: Recipe) -> DataFrame:
+    """Of counted rows those that are seen, with their split."""
     seen = budget.budget_cut(rows, major=["shard_ord"])
     if recipe.limit_docs_per_subset is not None:
         seen = budget.doc_limit(seen, recipe.limit_docs_per_subset, major=["shard_ord"])
@@ -104,10 +108,12 @@ def build(spark: SparkSession, docs: DataFrame, mixture_rows: list[tuple[str, in
     missing = [s for s, _ in mixture_rows if s not in known]
     if missing and not recipe.skip_missing_subsets:
         raise FileNotFoundError(f"missing subsets: {', '.join(missing)}")
-    # decisions are written once: partitions and retries cannot change them
-    work = f"{root}/_work/decisions"
-    decisions(docs, mixture, recipe).write.mode("overwrite").parquet(work)
-    seen = spark.read.parquet(work)
+    # texts are read and tokenised once for the counts; prefix sums and joins go over rows without texts. Decisions are
+    # written once as well: partitions and retries cannot change them
+    work = f"{root}/_work"
+    counted(docs, mixture, recipe).write.mode("overwrite").parquet(f"{work}/counted")
+    decisions(spark.read.parquet(f"{work}/counted"), recipe).write.mode("overwrite").parquet(f"{work}/decisions")
+    seen = spark.read.parquet(f"{work}/decisions")
     tokenizer = tokenizers.load(recipe.tokenizer)
     dtype = tokenizers.token_dtype(tokenizer.n_vocab - 1, recipe.dtype)
     placed = packing.offsets(seen.where("n_framed > 0"), major=["subset_ord", "shard_ord"])
