@@ -301,7 +301,7 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     found = near_duplicates(docs, words, percent)
     gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
-    return docs.join(side, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.alias("d").join(side.alias("g"), F.col("d.doc_id") == F.col("g.gone_id"), "left_anti")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,8 @@ def test_empty_and_deduplicated(spark):
     docs = spark.createDataFrame([(5, "a b c d e f g", "x"), (3, "A b c d e f g", "y"), (9, None, "z"), (None, "a b c d e f g", "n"), (8, "q r s", "k")], "doc_id long, text string, n string")
     assert N.near_duplicates(docs.where("false")).count() == 0
     kept = N.deduplicated(docs)
+    clash = docs.withColumn("gone_id", docs.n).withColumn("component_id", docs.n).withColumn("cid", docs.n)
+    assert sorted(r.n for r in N.deduplicated(clash).collect()) == sorted(r.n for r in kept.collect())
     assert kept.columns == docs.columns and sorted(r.n for r in kept.collect()) == ["k", "n", "y", "z"]
 
 
