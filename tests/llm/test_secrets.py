@@ -54,6 +54,29 @@ def test_viterbi_is_the_best_sequence():
         assert score(S.viterbi(rows, w, tr)) == max(score(s) for s in itertools.product(range(3), repeat=len(rows)))
 
 
+def test_marginals_equal_enumeration():
+    import itertools
+    import math
+
+    rng = random.Random(6)
+    for _ in range(40):
+        emit = [[rng.uniform(-3, 3) for _ in range(3)] for _ in range(rng.randrange(1, 6))]
+        trans = [[rng.uniform(-2, 2) for _ in range(3)] for _ in range(4)]
+        total, tags, pairs = 0.0, [[0.0] * 3 for _ in emit], [[0.0] * 3 for _ in range(4)]
+        for seq in itertools.product(range(3), repeat=len(emit)):
+            if seq[0] == 2 or any(b == 2 and a == 0 for a, b in zip(seq, seq[1:])):
+                continue
+            p = math.exp(sum(e[t] for e, t in zip(emit, seq)) + sum(trans[a][b] for a, b in zip([3, *seq], seq)))
+            total += p
+            for i, t in enumerate(seq):
+                tags[i][t] += p
+            for a, b in zip([3, *seq], seq):
+                pairs[a][b] += p
+        got_tags, got_pairs = S.marginals(emit, trans)
+        for got, want in ((got_tags, tags), (got_pairs, pairs)):
+            assert all(abs(g - w / total) < 1e-9 for x, y in zip(got, want) for g, w in zip(x, y))
+
+
 def test_field_adds_unlisted_secrets_and_keeps_plain_text(spark):
     rng = random.Random(9)
     words = ["then", "of", "ertion", "thatish", "reeble", "And", "on.", "with,"]
