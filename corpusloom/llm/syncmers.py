@@ -45,9 +45,10 @@ def _grams(c: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all substrings of a length, from those of its halves."""
     if size == 1:
         return _mix(c + _M1)
-    half = _grams(c, size // 2)
-    out = half[: len(c) - size + 1] * _M1 + half[size // 2 : len(c) - size // 2 + 1]
-    return out if size % 2 == 0 else out[: len(c) - size + 1]
+    a, n = size // 2, len(c) - size + 1
+    left = _grams(c, a)
+    right = left if size == 2 * a else _grams(c, size - a)
+    return left[:n] * _M1 + right[a : a + n]
 
 
 def _window_min(x: np.ndarray, size: int) -> np.ndarray:

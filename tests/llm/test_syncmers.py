@@ -22,6 +22,15 @@ def test_closed_syncmers_equal_brute_force():
         assert len({text[i : i + 16] for i in at.tolist()}) == len(set(S.syncmers(text)[0].tolist()))
 
 
+def test_grams_of_any_size():
+    text = "abcabcabdabc" * 3
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    for size in (1, 2, 3, 5, 6, 7, 12):
+        h = S._grams(c, size).tolist()
+        parts = [text[i : i + size] for i in range(len(text) - size + 1)]
+        assert len(h) == len(parts) and len(set(h)) == len(set(parts)) == len(set(zip(h, parts)))
+
+
 def test_fingerprints():
     rng = random.Random(5)
     line = lambda n: " ".join("".join(rng.choice("thernosia") for _ in range(rng.randrange(2, 9))) for _ in range(n))
