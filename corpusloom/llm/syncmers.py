@@ -48,7 +48,8 @@ def _grams(c: np.ndarray, size: int) -> np.ndarray:
     a, n = size // 2, len(c) - size + 1
     left = _grams(c, a)
     right = left if size == 2 * a else _grams(c, size - a)
-    return left[:n] * _M1 + right[a : a + n]
+    # a power for each length, so that every place in the substring has its own
+    return left[:n] * np.uint64(pow(int(_M1), size - a, 1 << 64)) + right[a : a + n]
 
 
 def _window_min(x: np.ndarray, size: int) -> np.ndarray:
