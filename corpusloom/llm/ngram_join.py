@@ -305,4 +305,17 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+#: DuckDB SQL for op1: all pairs that share a shingle, then the closure of the links.
+ORACLE = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+s as (select doc_id, case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+  else list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) end as grams from w),
+u as (select doc_id, len(grams) as n, unnest(grams) as g from s),
+p as (select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as k from u a join u b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select x, y from p where 100 * k >= 85 * (nx + ny - k)),
+l as (select x as a, y as b from e union select y, x from e),
+c as (select a, b from l union select c.a, l.b from c join l on c.b = l.a)
+select s.doc_id, len(s.grams)::bigint as n_shingles, least(s.doc_id, coalesce(min(c.b), s.doc_id)) as component_id from s left join c on s.doc_id = c.a group by s.doc_id, s.grams"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import licenses, url_templates
+from corpusloom.llm import licenses, ngram_join, url_templates
 from corpusloom.llm.bpe_tree import op9_bpe_tree
 from corpusloom.llm.decontaminate import op6_decontaminate
 from corpusloom.llm.ngram_join import op1_ngram_join
@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": ngram_join.ORACLE,
         "op2_url_templates": url_templates.ORACLE,
         "op4_licenses": licenses.ORACLE,
     }
