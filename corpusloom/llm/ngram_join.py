@@ -45,7 +45,7 @@ BLOCK_SHINGLES = 4_000_000
 #: Ids up to which the documents to compare are picked by broadcast; beyond, by a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
 #: Shingles of several groups up to which prefix rows are picked by broadcast; beyond, by a shuffled join.
-MAX_BROADCAST_KEYS = 2_000_000
+MAX_BROADCAST_KEYS = 100_000
 
 
 class Shingler:
