@@ -1,10 +1,11 @@
 """Document fingerprints by closed syncmers.
 
 A k-mer of characters is a closed syncmer if its smallest s-mer (by hash) is the first or the last one. The choice
-depends on the k-mer alone, so equal passages give equal anchors wherever they stand. A fingerprint holds the SLOTS
-anchors of smallest hash, each with the position where it first occurs. Two fingerprints are compared by position:
-of the anchors in common, the longest chain that rises in both texts counts; the share of it among the smallest
-anchors of both estimates the likeness, as twice what is common over the sum of both.
+depends on the k-mer alone, so equal passages give equal anchors wherever they stand. Texts are compared by all their
+anchors, however long they are, each at the position where it first occurs: of the anchors in common, the longest chain
+that rises in both texts counts; its share among the anchors of both gives the likeness, as twice what is common over
+the sum of both. The fingerprint that is written is a sketch of the SLOTS anchors of smallest hash; n_anchors and
+anchors_sha256 stand for all of them. No likeness is taken from the sketch.
 
 The next document in ascending doc_id comes from one range layout: cut points of doc_id (as many as scan partitions)
 deal rows into blocks, each block is read in order by one task, and the first row of each block is sent once more to
@@ -75,36 +76,56 @@ def syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]
     return _mix(_grams(c, k)[at]), at
 
 
-def fingerprint(text: str, slots: int = SLOTS) -> list[tuple[int, int]]:
-    """The anchors of smallest hash as (hash, first position), in the order of hash."""
+def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct anchors: hashes in ascending order, and the first position of each."""
     h, at = syncmers(text)
-    h = h >> np.uint64(32)
-    if len(h) > 16 * slots:
-        # a bound that keeps more than enough distinct hashes, or else all
-        small = h <= np.partition(h, 8 * slots)[8 * slots]
-        if len(np.unique(h[small])) >= slots:
-            h, at = h[small], at[small]
     values, first = np.unique(h, return_index=True)
-    return [(int(x), int(at[i])) for x, i in zip(values[:slots], first[:slots])]
+    return values, at[first]
+
+
+def sketch(whole: tuple[np.ndarray, np.ndarray], slots: int = SLOTS) -> list[tuple[int, int]]:
+    """The anchors of smallest hash, of which the upper half is kept, as (hash, first position)."""
+    h, at = whole[0] >> np.uint64(32), whole[1]
+    if not len(h):
+        return []
+    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    first = np.minimum.reduceat(at, starts)
+    return list(zip(h[starts[:slots]].tolist(), first[:slots].tolist()))
+
+
+def fingerprint(text: str, slots: int = SLOTS) -> list[tuple[int, int]]:
+    """The anchors of smallest hash as (hash, first position), in the order of hash."""
+    return sketch(anchors(text), slots)
+
+
+def digest(whole: tuple[np.ndarray, np.ndarray]) -> str:
+    """SHA-256 of all anchors: the hashes, then the positions, eight bytes each."""
+    return hashlib.sha256(whole[0].astype("<u8").tobytes() + whole[1].astype("<i8").tobytes()).hexdigest()
 
 
 def to_text(anchors: list[tuple[int, int]]) -> str:
     return ",".join(f"{h:08x}@{p}" for h, p in anchors)
 
 
-def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]], slots: int = SLOTS) -> float:
-    """0 to 1; 1 for equal fingerprints."""
-    if not a or not b:
-        return float(a == b)
-    x, y = dict(a), dict(b)
-    low = sorted(set(x) | set(y))[:slots]
-    pairs = sorted((x[h], y[h]) for h in low if h in x and h in y)
+def likeness_of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """0 to 1, over all anchors of both; 1 for equal ones."""
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     chain: list[int] = []
-    for _, q in pairs:
-        i = bisect.bisect_left(chain, q)
-        chain[i : i + 1] = [q]
-    j = len(chain) / len(low)
-    return 2 * j / (1 + j)
+    for q in b[1][j[np.argsort(a[1][i])]].tolist():
+        if not chain or q > chain[-1]:
+            chain.append(q)
+        else:
+            chain[bisect.bisect_left(chain, q)] = q
+    share = len(chain) / (len(a[0]) + len(b[0]) - len(i))
+    return 2 * share / (1 + share)
+
+
+def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
+    """likeness_of() over lists of (hash, position) without repeats, in the order of hash."""
+    split = lambda x: (np.array([h for h, _ in x], np.uint64), np.array([p for _, p in x], np.int64))
+    return likeness_of(split(a), split(b))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -149,12 +170,13 @@ def docs_ahead(rows: DataFrame, sent: DataFrame) -> DataFrame:
     return rows.drop("block").join(F.broadcast(sent), "ord").select("block", F.lit(True).alias("look"), "ord", "doc_id", "text")
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("n_anchors", pa.int64()), ("anchors_sha256", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Per row: the fingerprint of its text and of its text with the last quarter replaced by the start of the next
-    document, and the likeness of its fingerprint to that and to the next document's."""
+    document, the number and digest of all its anchors, and the likeness of these to those of the edited text and of the
+    next document."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +186,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
             key, text, own = row
             n, q = len(text), len(text) // 4
             edited = text[: n - q] + after[:q] if q else text
-            new = own if edited == text else fingerprint(edited)
-            out.append((key, n, hashlib.sha256(edited.encode()).hexdigest(), to_text(own), to_text(new), likeness(own, new), likeness(own, after_print)))
+            new = own if edited == text else anchors(edited)
+            out.append((key, n, hashlib.sha256(edited.encode()).hexdigest(), to_text(sketch(own)), to_text(sketch(new)), len(own[0]), digest(own), likeness_of(own, new), likeness_of(own, after_print)))
 
         def batch_of():
             made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), OUT)], schema=OUT)
@@ -174,7 +196,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for block, look, key, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                own = fingerprint(text)
+                own = anchors(text)
                 if held is not None and held[0] == block:
                     put(held[1], text, own)
                 # of several rows that look ahead the first counts
@@ -182,7 +204,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
             if out:
                 yield batch_of()
 
-    return in_order(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_order(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, n_anchors long, anchors_sha256 string, near_edited double, near_next double")
 
 
 def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,33 @@ def test_rows_in_order(spark):
     assert S.edited_likeness(docs.where("false")).count() == 0
     one = S.edited_likeness(spark.createDataFrame([(3, "only one here"), (None, "no id"), (3, "only one here")], "doc_id long, text string")).collect()
     assert sorted(r.n_chars for r in one) == [5, 13, 13]
+
+
+def test_long_texts_are_compared_by_all_anchors(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join("".join(rng.choice("thernosia") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    shared, a, b = line(50), line(6000), line(6000)
+    x, y = a[:15000] + shared + a[15000:], b[:9000] + shared + b[9000:]
+    got = S.edited_likeness(spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")).where("doc_id = 1").first()
+
+    def first(text):
+        out = {}
+        for h, p in zip(*(v.tolist() for v in S.syncmers(text))):
+            out.setdefault(h, p)
+        return out
+
+    def brute(s, t):
+        p, q = first(s), first(t)
+        pairs = sorted((p[h], q[h]) for h in p if h in q)
+        best = []
+        for i, (_, v) in enumerate(pairs):
+            best.append(1 + max((best[k] for k in range(i) if pairs[k][1] < v), default=0))
+        j = max(best, default=0) / len(set(p) | set(q))
+        return 2 * j / (1 + j)
+
+    assert got.near_next == brute(x, y) > 0.0
+    edited = x[: len(x) - len(x) // 4] + y[: len(x) // 4]
+    # the share of the text that stays, to a hundredth
+    assert got.n_anchors == len(first(x)) > 3000 and abs(got.near_edited - 0.75) < 0.01
+    assert got.near_edited == S.likeness_of(S.anchors(x), S.anchors(edited))
+    assert got.anchors_sha256 == S.digest(S.anchors(x)) != S.digest(S.anchors(edited))
