@@ -2,13 +2,12 @@
 
 Base spans (assignments, access keys, long hexadecimal runs) are found by their patterns in every whole text. The
 field tags tokens as beginning of a secret, inside or outside (B, I, O) from the token's shape, its neighbours and
-features of the file, decoded by Viterbi. Tokens that could be a secret (CANDIDATE: eight or more characters with a
-digit and a letter, or a run that follows an assignment sign) are rare, so the field is decoded over windows of
-REACH tokens around each of them; overlapping windows join. Every other token has a feature ("plain") on which the
-field is trained to tag O, so that windows lose nothing by their ends.
+features of the file, decoded by Viterbi over all tokens of the text. Most tokens are O in every best sequence whatever
+stands beside them, which a bound on what the transitions can give shows at once (Decoder.open_tokens); the runs of
+other tokens between them are decoded one by one, so that the result is that of one decoding of the whole text.
 
 The field is trained on the driver for conditional likelihood, with forward and backward sums, from a bounded sample
-of texts (MAX_TRAIN windows); its labels are the base spans of the sample plus the same windows with secrets of other
+of texts (MAX_TRAIN windows, around tokens that could be secrets and at random places); its labels are the base spans of the sample plus the same windows with secrets of other
 kinds planted in them by a seeded generator, so that it learns context and shape rather than the base patterns alone.
 
 One pass over the texts with no shuffle. Memory of a task: one Arrow batch.
@@ -39,9 +38,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CUES = ("passw", "secret", "token", "api")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]+")
+#: Tokens around which training windows lie; decoding does not use it.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{8,}")
 #: Tokens on either side of a candidate in its window, and characters that hold them at most.
 REACH, REACH_CHARS = 4, 160
+#: Words that often come before a secret.
+CREDENTIAL = re.compile(r"(?<![A-Za-z])(?:key|api_?key|secret|token|passw(?:or)?d|passphrase|pwd|credentials?|auth|bearer|pin)(?![A-Za-z])", re.ASCII | re.IGNORECASE)
+#: Words whose features a task keeps, at the start of a text; and tokens decoded at once.
+CACHE, BLOCK = 100_000, 1 << 16
 #: Characters of a token that its features look at.
 SEEN = 256
 TAGS = "OBI"
@@ -95,24 +99,43 @@ def _entropy(word: str) -> float:
     return -sum(k / len(word) * math.log2(k / len(word)) for k in (word.count(c) for c in set(word)))
 
 
+def own_features(w: str) -> tuple[list[str], bool]:
+    """Features of a token alone, and whether it holds a credential word."""
+    cue = CREDENTIAL.search(w[:SEEN]) is not None
+    if len(w) < 6 or (w.isalpha() and (w.islower() or w.istitle())):
+        return [f"w={w.lower()}" if len(w) < 12 else "w", "plain"], cue
+    if w.isalpha():
+        kind = "letters"
+    elif w.isdigit():
+        kind = "digits"
+    elif re.fullmatch(r"[0-9a-f]+", w):
+        kind = "hexed"
+    elif re.fullmatch(r"[A-Z0-9]+", w):
+        kind = "upper"
+    else:
+        kind = "mixed" if re.search(r"[0-9]", w) else "joined"
+    size = _bucket(len(w), (8, 12, 16, 20, 32, 40))
+    switches = _bucket(len(re.findall(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])", w[:SEEN])), (1, 2, 4, 8))
+    cases = _bucket(len(re.findall(r"[a-z](?=[A-Z])", w[:SEEN])), (1, 2, 3, 5))
+    out = [kind, f"s={_shape(w)}", f"l={size}", f"e={_bucket(_entropy(w), (2.0, 2.5, 3.0, 3.5, 4.0))}", f"x={switches}", f"{kind}|{switches}|{size}", f"c={cases}|{kind}|{size}"]
+    return [*out, "assigns"] if cue and "=" in w[1:-1] else out, cue
+
+
+def _beside(d: int, mine: list[str], cue: bool) -> list[str]:
+    """Features that a token gives to the one that stands -d tokens after it."""
+    return [f"{d}:{mine[0]}"] * (d > -3) + [f"{d}:cue"] * (cue and d < 0)
+
+
 def features(words: list[str], file: str) -> list[list[str]]:
     """Per token: its shape, length and entropy, its neighbours, and the file's features."""
-    own = []
-    for w in words:
-        if len(w) < 6 or (w.isalpha() and (w.islower() or w.istitle())):
-            own.append([f"w={w.lower()}" if len(w) < 12 else "w", "plain"])
-        else:
-            kind = "plain" if w.isalpha() else "hexed" if re.fullmatch(r"[0-9a-f]+", w) else "upper" if re.fullmatch(r"[A-Z0-9]+", w) else "mixed"
-            switches = len(re.findall(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])", w[:SEEN]))
-            own.append([kind, f"s={_shape(w)}", f"l={_bucket(len(w), (8, 12, 16, 20, 32, 40))}", f"e={_bucket(_entropy(w), (2.0, 2.5, 3.0, 3.5, 4.0))}", f"x={_bucket(switches, (1, 2, 4, 8))}", f"{kind}|{_bucket(switches, (1, 2, 4, 8))}|{_bucket(len(w), (8, 12, 16, 20, 32, 40))}"])
+    own = [own_features(w) for w in words]
     out = []
-    for i, mine in enumerate(own):
+    for i, (mine, _) in enumerate(own):
         f = [*mine, "bias", file]
-        for d in (-2, -1, 1):
-            near = own[i + d][0] if 0 <= i + d < len(own) else "edge"
-            f.append(f"{d}:{near}")
-        if i and own[i - 1][0].startswith("w="):
-            f.append(f"{mine[0]}<{own[i - 1][0]}")
+        for d in (-3, -2, -1, 1):
+            f += _beside(d, *(own[i + d] if 0 <= i + d < len(own) else (["edge"], False)))
+        if i and own[i - 1][0][0].startswith("w="):
+            f.append(f"{mine[0]}<{own[i - 1][0][0]}")
         out.append(f)
     return out
 
@@ -123,20 +146,11 @@ def file_feature(text: str) -> str:
     return f"file={_bucket(signs / (len(text) + 1), (0.001, 0.01, 0.03))}"
 
 
-def viterbi(rows: list[list[str]], weights: dict, trans: dict) -> list[int]:
-    """The best tags of a token sequence; I follows only B or I."""
-    if not rows:
-        return []
-    none = (0.0, 0.0, 0.0)
+def best_tags(emit: list[list[float]], trans: dict, before: int = -1, closed: bool = False) -> list[int]:
+    """The best tags of tokens with the given scores after a tag (-1: the start), if closed with an O after them."""
     back: list[list[int]] = []
-    best = [0.0, trans.get((-1, 1), 0.0), -1e9]
-    for i, f in enumerate(rows):
-        e = [0.0, 0.0, 0.0]
-        for x in f:
-            w = weights.get(x, none)
-            e[0] += w[0]
-            e[1] += w[1]
-            e[2] += w[2]
+    best = [trans.get((0, 0), 0.0) if before == 0 else 0.0, trans.get((before, 1), 0.0), -1e9]
+    for i, e in enumerate(emit):
         if i:
             step, now = [], []
             for t in range(3):
@@ -147,6 +161,8 @@ def viterbi(rows: list[list[str]], weights: dict, trans: dict) -> list[int]:
             back.append(step)
             best = now
         best = [b + x for b, x in zip(best, e)]
+    if closed:
+        best = [b + trans.get((t, 0), 0.0) for t, b in enumerate(best)]
     tag = max(range(3), key=lambda t: (best[t], -t))
     tags = [tag]
     for step in reversed(back):
@@ -155,11 +171,126 @@ def viterbi(rows: list[list[str]], weights: dict, trans: dict) -> list[int]:
     return tags[::-1]
 
 
+def viterbi(rows: list[list[str]], weights: dict, trans: dict) -> list[int]:
+    """The best tags of a token sequence; I follows only B or I."""
+    none = (0.0, 0.0, 0.0)
+    return best_tags([[sum(x) for x in zip(*(weights.get(f, none) for f in row))] for row in rows], trans) if rows else []
+
+
+class Decoder:
+    """Viterbi over all tokens of a text. Tokens of equal features share a row of scores; words that the field has not
+    seen have equal ones."""
+
+    def __init__(self, weights: dict, trans: dict):
+        self.weights, self.trans = weights, trans
+        pairs = {(f[:i], f[i + 1 :]): x for f, x in weights.items() for i in range(1, len(f)) if f[i] == "<" and f.startswith("w=", i + 1)}
+        self.keys = {k: i for i, k in enumerate(sorted({k for pair in pairs for k in pair}))}
+        found = sorted((self.keys[a] * len(self.keys) + self.keys[b], x) for (a, b), x in pairs.items())
+        self.pair_keys = np.array([k for k, _ in found], np.int64)
+        self.pair_scores = np.array([x for _, x in found], np.float64).reshape(-1, 3)
+        # words that some feature names; all other plain words are alike
+        self.lexicon = {f[m.end() :] for f in weights for m in re.finditer("w=", f)} | {k[2:] for k in self.keys if k.startswith("w=")}
+        t = lambda p, n: 0.0 if (p, n) == (-1, 0) or n is None else trans.get((p, n), 0.0)
+        # the most that B or I at a token can give over O by transitions: before another tag than I, and before I, which becomes B
+        self.bounds = []
+        for x in (1, 2):
+            into = max(t(p, x) - t(p, 0) for p in ((-1, 0, 1, 2) if x == 1 else (1, 2)))
+            plain = max(t(x, n) - t(0, n) for n in (None, 0, 1))
+            inside = t(x, 2) - t(0, 1) + max(t(2, n) - t(1, n) for n in (None, 0, 1, 2))
+            self.bounds.append((into + plain, into + inside))
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.rows: dict[tuple, int] = {}
+        self.scores, self.key = np.zeros((1024, 5, 3)), np.full(1024, -1, np.int64)
+        self._row(["edge"], False, [])
+
+    def _sum(self, names: list[str]) -> list[float]:
+        rows = [self.weights[f] for f in names if f in self.weights]
+        return [sum(x) for x in zip(*rows)] if rows else [0.0, 0.0, 0.0]
+
+    def _row(self, mine: list[str], cue: bool, own: list[str]) -> int:
+        name = (cue, *mine)
+        n = self.rows.get(name)
+        if n is None:
+            n = self.rows[name] = len(self.rows)
+            if n == len(self.key):
+                self.scores, self.key = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.key, np.full(n, -1, np.int64)])
+            self.scores[n] = [self._sum(own), *(self._sum(_beside(d, mine, cue)) for d in (-3, -2, -1, 1))]
+            self.key[n] = self.keys.get(mine[0], -1)
+        return n
+
+    def _id(self, w: str) -> int:
+        mine, cue = own_features(w)
+        if mine[0].startswith("w=") and mine[0][2:] not in self.lexicon:
+            mine = ["w=", *mine[1:]]
+        found = self._row(mine, cue, [*mine, "bias"])
+        # of long tokens the features are kept, not the text
+        if len(w) <= 64:
+            self.ids[w] = found
+        return found
+
+    def emissions(self, ids: np.ndarray, file: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Scores of the tokens a to b; ids has three edges before the first token and one after the last."""
+        at = lambda d, k: self.scores[ids[a + 3 + d : b + 3 + d], k]
+        out = at(0, 0) + file + at(-3, 1) + at(-2, 2) + at(-1, 3) + at(1, 4)
+        if len(self.pair_keys):
+            mine, prev = self.key[ids[a + 3 : b + 3]], self.key[ids[a + 2 : b + 2]]
+            want = np.where((mine >= 0) & (prev >= 0), mine * len(self.keys) + prev, -1)
+            k = np.minimum(np.searchsorted(self.pair_keys, want), len(self.pair_keys) - 1)
+            hit = np.flatnonzero(self.pair_keys[k] == want)
+            out[hit] += self.pair_scores[k[hit]]
+        return out
+
+    def open_tokens(self, e: np.ndarray, n: int) -> np.ndarray:
+        """Which of the first n tokens need not be O: to make any other O, and an I after it B, may not raise the score.
+        e has the scores of the n tokens and of the next one, if there is one."""
+        inside = np.full(n, -np.inf)
+        inside[: len(e) - 1] = (e[1:, 2] - e[1:, 1])[:n]
+        gain = [e[:n, x] - e[:n, 0] + np.maximum(plain, into + inside) for x, (plain, into) in zip((1, 2), self.bounds)]
+        return np.maximum(*gain) >= -1e-6
+
+    def tagged(self, text: str) -> list[tuple[int, int]]:
+        """Index and tag of all tokens that are not O, in order."""
+        if len(self.ids) > CACHE:
+            self.clear()
+        known, new = self.ids.get, self._id
+        words = TOKEN.findall(text) if len(text) <= 1 << 20 else (m[0] for m in TOKEN.finditer(text))
+        ids = np.fromiter((new(w) if (i := known(w)) is None else i for w in words), np.int64)
+        n, ids = len(ids), np.concatenate([[0, 0, 0], ids, [0]]).astype(np.int64)
+        file = np.array(self._sum([file_feature(text)]))
+        places, scores = [], []
+        for a in range(0, n, BLOCK):
+            b = min(n, a + BLOCK)
+            e = self.emissions(ids, file, a, min(n, b + 1))
+            at = np.flatnonzero(self.open_tokens(e, b - a))
+            places.append(at + a)
+            scores.append(e[at])
+        at = np.concatenate(places) if places else np.empty(0, np.int64)
+        if not len(at):
+            return []
+        e, out = np.concatenate(scores).tolist(), []
+        cuts = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)]
+        where = at.tolist()
+        for x, y in zip(cuts, cuts[1:]):
+            tags = best_tags(e[x:y], self.trans, -1 if where[x] == 0 else 0, where[y - 1] < n - 1)
+            out += [(i, t) for i, t in zip(where[x:y], tags) if t]
+        return out
+
+
 def _planted(rng: random.Random) -> tuple[str, str]:
     """A secret of a kind that the base patterns don't cover, with the words before it."""
     chars = string.ascii_letters + string.digits
-    kind = rng.randrange(5)
+    kind = rng.randrange(8)
     body = "".join(rng.choice(chars) for _ in range(rng.choice((20, 24, 32, 40, 44))))
+    lead = ("Bearer ", "credential: ", "credential = ", "access_key: ", "client_key = ", "auth: ", "pin: ", "key = ")
+    if kind == 5:
+        return "".join(rng.choice(string.ascii_letters) for _ in range(len(body))), rng.choice(lead)
+    if kind == 6:
+        return "-".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randrange(4, 9))) for _ in range(rng.randrange(3, 6))), rng.choice(lead)
+    if kind == 7:
+        return "".join(rng.choice(string.digits) for _ in range(rng.choice((12, 16, 20, 24)))), rng.choice(lead)
     if kind == 0:
         return "ghp_" + body, rng.choice(("", "auth ", "pat: "))
     if kind == 1:
@@ -174,7 +305,7 @@ def _planted(rng: random.Random) -> tuple[str, str]:
 def _plain(rng: random.Random) -> str:
     """A candidate that is no secret: dates, versions, paths, numbered names."""
     n = rng.randrange
-    return rng.choice((f"20{n(30):02d}-{1 + n(12):02d}-{1 + n(28):02d}", f"v{n(9)}.{n(20)}.{n(99)}-rc{n(9)}", f"chapter{n(99999)}", f"images/photo_{n(9999)}.jpg", f"src/file{n(99)}.py", f"item-{n(99999)}-{n(99)}", f"{n(999)}.{n(999)}.{n(99)}kb", f"user{n(999999)}.example.com"))
+    return rng.choice((f"20{n(30):02d}-{1 + n(12):02d}-{1 + n(28):02d}", f"v{n(9)}.{n(20)}.{n(99)}-rc{n(9)}", f"chapter{n(99999)}", f"images/photo_{n(9999)}.jpg", f"src/file{n(99)}.py", f"item-{n(99999)}-{n(99)}", f"{n(999)}.{n(999)}.{n(99)}kb", f"user{n(999999)}.example.com", f"{n(10 ** rng.randrange(6, 13))}", rng.choice(("JavaScript", "McDonald", "OpenStreetMap", "UNESCO", "PostgreSQL")), rng.choice(("state-of-the-art", "well-known", "mother-in-law", "up-to-date", "end-of-line."))))
 
 
 def examples(texts: list[str], max_train: int = MAX_TRAIN, seed: int = 11) -> list[tuple[list[str], str, list[int]]]:
@@ -204,7 +335,9 @@ def examples(texts: list[str], max_train: int = MAX_TRAIN, seed: int = 11) -> li
                 parts = [m[0] for m in TOKEN.finditer(lead)]
                 pieces = [m[0] for m in TOKEN.finditer(secret)]
                 out.append((clean[:cut] + parts + pieces + clean[cut:], file, [0] * (cut + len(parts)) + [1] + [2] * (len(pieces) - 1) + [0] * (len(clean) - cut)))
-                out.append((clean[:cut] + [_plain(rng)] + clean[cut:], file, [0] * (len(clean) + 1)))
+                # a candidate that is no secret, or a credential word without a secret
+                other = [_plain(rng)] if rng.random() < 0.7 else parts
+                out.append((clean[:cut] + other + clean[cut:], file, [0] * (len(clean) + len(other))))
     return out
 
 
@@ -265,31 +398,31 @@ def fit(texts: list[str], max_train: int = MAX_TRAIN, seed: int = 11) -> tuple[d
     return {f: tuple(w[i].tolist()) for f, i in names.items()}, out
 
 
-def scan(text: str, weights: dict, trans: dict) -> tuple[list, list]:
-    """Base spans, and all spans: the base ones and what the field adds outside of them."""
+def scan(text: str, weights: dict, trans: dict, decoder: Decoder | None = None) -> tuple[list, list]:
+    """Base spans, and all spans: the base ones and those of the field that no base span holds."""
     base = base_spans(text)
-    added = []
-    if weights and (ranges := windows(text)):
-        file, i = file_feature(text), 0
-        for a, b in ranges:
-            tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
-            tags = viterbi(features([text[s:e] for s, e in tokens], file), weights, trans)
-            open_at = None
-            for (s, e), t in zip([*tokens, (b, b)], [*tags, 0]):
-                if open_at is not None and t != 2:
-                    added.append(("crf", open_at, last))
-                    open_at = None
-                if t == 1 or (t == 2 and open_at is None):
-                    open_at = s
-                last = e
-        kept = []
-        for _, s, e in added:  # both lists are ordered by start
-            while i < len(base) and base[i][2] <= s:
+    kept = []
+    if weights and text and (tagged := (decoder or Decoder(weights, trans)).tagged(text)):
+        need, added, i = iter(tagged), [], 0
+        at, tag = next(need)
+        for k, m in enumerate(TOKEN.finditer(text)):
+            if k < at:
+                continue
+            if tag == 2 and added:
+                added[-1][1] = m.end()
+            else:
+                added.append([*m.span()])
+            if (step := next(need, None)) is None:
+                break
+            at, tag = step
+        reach = 0
+        for s, e in added:  # both lists are ordered by start
+            while i < len(base) and base[i][1] <= s:
+                reach = max(reach, base[i][2])
                 i += 1
-            if not any(x < e and y > s for _, x, y in base[max(0, i - 3) : i + 3]):
+            if reach < e:
                 kept.append(("crf", s, e))
-        added = kept
-    return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return base, sorted(base + kept, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def sample(docs: DataFrame, limit: int = TRAIN_DOCS) -> list[str]:
@@ -316,11 +449,12 @@ def spans(docs: DataFrame, model: tuple[dict, dict]) -> DataFrame:
 
     def make():
         weights, trans = shared.value
+        decoder = Decoder(weights, trans)
 
         def work(keys, texts):
             out: dict[str, list] = {f.name: [] for f in schema}
             for key, text in zip(keys, texts):
-                base, every = scan(text or "", weights, trans)
+                base, every = scan(text or "", weights, trans, decoder)
                 out["doc_id"].append(key)
                 for kind in KINDS[:3]:
                     out[f"n_{kind}"].append(sum(s[0] == kind for s in base))
@@ -342,12 +476,13 @@ def redact(docs: DataFrame, model: tuple[dict, dict], mask: str = "[SECRET]") ->
 
     def run(batches):
         weights, trans = shared.value
+        decoder = Decoder(weights, trans)
         for batch in batches:
             texts = []
             for text in batch.column(at).to_pylist():
                 if text:
                     parts, done = [], 0
-                    for _, s, e in scan(text, weights, trans)[1]:
+                    for _, s, e in scan(text, weights, trans, decoder)[1]:
                         if s >= done:
                             parts += [text[done:s], mask]
                         done = max(done, e)
