@@ -296,12 +296,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id: one document of each group stays, all columns too.
-    Rows that repeat a doc_id stay or go together; rows without a doc_id stay."""
-    found = near_duplicates(docs, words, percent)
-    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    """One row of each group of near duplicates, all columns too: the first by doc_id, then class_id, then the hash of
+    its columns. Rows go, not ids, so that rows that repeat a doc_id are judged by their own texts. Rows without a doc_id
+    and rows without shingles stay."""
+    name, gone_name = (next(c for i in range(len(docs.columns) + 1) if (c := f"{x}_{i}") not in docs.columns) for x in ("row", "gone"))
+    # written once, so that the row numbers stay as they are; they stand for doc_ids, which may repeat
+    stored = materialise(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(stored.select(F.col(name).alias("doc_id"), "text"), words, percent).where("class_id is not null")
+    tie = F.xxhash64(*(f"`{c}`" for c, t in docs.dtypes if "map<" not in t and t != "variant"))
+    ids = stored.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("id"), tie.alias("tie")).where("id is not null")
+    judged = materialise(found.select(F.col("doc_id").alias("row"), "class_id", "component_id").join(ids, "row"), "judged")
+    # one row a group; the group of a third of all rows is never gathered
+    first = judged.groupBy("component_id").agg(F.min(F.struct("id", "class_id", "tie", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    gone = materialise(judged.select("row").join(first, "row", "left_anti").select(F.col("row").alias(gone_name)), "gone")
+    delete(judged)
     side = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
-    return docs.alias("d").join(side.alias("g"), F.col("d.doc_id") == F.col("g.gone_id"), "left_anti")
+    return stored.join(side, F.col(name) == F.col(gone_name), "left_anti").drop(name)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

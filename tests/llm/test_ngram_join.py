@@ -87,3 +87,13 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 199: 199, 200: 199}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_deduplicated_deletes_rows_not_ids(spark):
+    a, b, c = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    rows = [(5, a, "a5"), (3, a, "a3"), (5, b, "b5"), (7, c, "c7"), (7, c, "c7"), (7, c, "c7"), (7, b, "b7"), (8, None, "null"), (8, None, "null"), (None, a, "none")]
+    for n in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, row_0 string").repartition(n)
+        kept = N.deduplicated(docs)
+        # the text b is nowhere else, though its row's doc_id is that of a copy; one of the repeated rows stays
+        assert kept.columns == docs.columns and sorted(r.row_0 for r in kept.collect()) == ["a3", "b5", "c7", "none", "null", "null"]
