@@ -4,7 +4,8 @@ A huge document is encoded in overlapping chunks. Each chunk's tokens have byte
 a boundary that both have and that is proven stable: an ASCII letter or digit followed by a space, which no piece of
 the split pattern and no special token spans, so that both encodings are exact there. Where the overlap holds no such
 boundary, or the two encodings do not both break there, the left chunk is widened (doubled, up to the whole rest) and
-encoded again. Texts up to one chunk are encoded directly.
+encoded again. Texts up to one chunk are encoded directly. A long run without a boundary, such as a million spaces, is
+encoded piece by piece (bpe_tree.encode), as the encoder's own split overflows its stack on it.
 
 Memory of a task: one Arrow batch and the tokens of one chunk (of the widened chunk for text without any such
 boundary). There is no shuffle.
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.bpe_tree import encode
 from corpusloom.llm.common import map_rows, prepare, table
 from corpusloom.llm.tokenizers import SPECIAL, SPECIAL_ID, default_byte_bpe
 
@@ -44,11 +46,11 @@ class Counter:
 
     def ends(self, text: str) -> np.ndarray:
         """Byte offsets at which the tokens of a text end."""
-        return np.cumsum(self.width[self.enc.encode(text, allowed_special="all")])
+        return np.cumsum(self.width[encode(self.enc, text)])
 
     def count(self, text: str) -> int:
         if len(text) <= self.chunk:
-            return len(self.enc.encode(text, allowed_special="all"))
+            return len(encode(self.enc, text))
         total, start, size = 0, 0, self.chunk
         ends = None
         while True:

@@ -44,6 +44,12 @@ def test_count_equals_the_library(text, chunk, overlap):
     assert token_counts.Counter(ENC, chunk, overlap).count(text) == len(ids(text))
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "ab", "!?", " \n"])
+def test_two_million_characters_without_a_boundary(run):
+    text = "Head " + run * (2_000_000 // len(run)) + " tail."
+    assert token_counts.Counter(ENC).count(text) == len(ids(text)) and bpe_tree.encode(ENC, text) == ids(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab1 \n'é漢<|>.s"), max_size=400))
 def test_count_of_any_text(text):
