@@ -24,12 +24,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a temporary one, in local mode
+    alone: executors on other machines could not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -52,6 +55,26 @@ def delete(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot if more than one in HOT rows have it; there are fewer than HOT such keys.
+HOT = 1024
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, which has one narrow row a key. Hot keys of left are joined by broadcast,
+    fewer than HOT rows, so that no task reads a large share of left; all others by a shuffle. Keys must not be null in an inner
+    join. left and right are read twice: written tables or cheap plans."""
+    spark = left.sparkSession
+    total = left.count()
+    counts = left.groupBy(*keys).agg(F.count("*").alias("n_left")).where(F.col("n_left") * HOT > max(total, HOT * HOT))
+    hot = counts.select(*keys).collect()  # fewer than HOT rows
+    if not hot:
+        return left.join(right, keys, how)
+    marks = F.broadcast(spark.createDataFrame(hot, left.select(*keys).schema))
+    few = right.join(marks, keys, "left_semi")
+    out = left.join(marks, keys, "left_semi").join(F.broadcast(few), keys, how)
+    return out.unionByName(left.join(marks, keys, "left_anti").join(right, keys, how))
+
+
 def smallest_hashes(rows: DataFrame, key: Column, limit: int) -> DataFrame:
     """About the limit rows of smallest hash of key, and never fewer unless rows are: a filter by a threshold that the
     number of distinct keys gives, so that no task sends more than its share to the driver. Sort and limit afterwards."""

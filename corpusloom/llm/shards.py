@@ -1,77 +1,116 @@
 """Sharding by longest-processing-time scheduling; the law is `bytes`: the shards' sizes come out near equal.
 
-Rows of equal text form a group that stays together. Groups of more than a GIANT-th of all bytes are scheduled one by
-one; all others are bundled by the hash of their text into BUNDLES bundles, so that what is sorted and scheduled has a
-bound (BUNDLES + GIANT items) that does not grow with the data: the items, largest first, go each to the least-loaded
-shard through a heap. A shard's size can differ from the mean by one item at most, about 1/BUNDLES of all bytes unless
-one group is itself larger than a shard.
+Rows of equal text form a group that stays together. All groups, largest first and those of equal size in the order of
+their text's hash, go each to the least-loaded shard through a heap. Groups of one size are interchangeable to the
+schedule, so the driver sees one row a distinct size, (size, number of groups): with B bytes in all there are fewer
+than sqrt(2 B) distinct sizes, as their sum is at most B. A run of equal groups is placed at once: the heap's picks are
+the smallest members of the shards' arithmetic progressions of loads, which a search for the last pick's load counts.
+Which group of a size goes where follows from its rank in that size; ranks and slots are two-level sums over parts of
+about PART rows, so that no task holds a popular size or a whole shard.
 
-Slots are gapless within a shard: items follow each other in a shard's order, and rows within an item. A giant group
-is cut into SALT parts for that, so that no task reads more than a small share of the rows.
+A shard's size differs from another's by one group at most. Equal texts of a third of all rows are one group.
 
-Shuffles: sizes by text hash, and rows without their texts by part. The text is read once and never shuffled.
+Shuffles: rows without their texts by text hash (hot texts are joined by broadcast) and by part. Texts are read once
+and never shuffled.
 
-Edge cases: null counts as an empty text (size 1, crc32 0); equal texts are one group whatever their doc_id; ties in
-size go to the item of smaller number, then to the shard of smaller number; rows of one part are numbered by doc_id,
-repeated ones in any order; extra columns are ignored; an empty table gives an empty result.
+Edge cases: null counts as an empty text (size 1, crc32 0); equal texts are one group whatever their doc_id (two texts
+are equal if their length and two 64-bit hashes are); ties in load go to the shard of smaller number; rows keep no order within a
+shard; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import delete, materialise, table
+from corpusloom.llm.common import delete, join_unique, materialise, table
 
 SHARDS = 16
-BUNDLES = 1 << 13
-GIANT = 1 << 10
-SALT = 256
+PART = 1 << 16
 
 
-def schedule(items: Iterable[tuple[int, int]], shards: int) -> dict[int, int]:
-    """Item to shard: (item, size) pairs, largest first, each to the least-loaded shard."""
+def fill(load: list[int], size: int, count: int) -> list[int]:
+    """How many of count items of one size each shard gets, if each goes to the least-loaded shard, of equal ones to the
+    first: the count smallest of the pairs (load + j * size, shard), j = 0, 1, ..."""
+    lo, hi = min(load), min(load) + size * count  # one shard alone has count picks below hi
+    while lo < hi:  # the least load limit with count picks at or below it
+        mid = (lo + hi) // 2
+        if sum((mid - x) // size + 1 for x in load if x <= mid) >= count:
+            hi = mid
+        else:
+            lo = mid + 1
+    took = [(lo - 1 - x) // size + 1 if x < lo else 0 for x in load]
+    left = count - sum(took)
+    for s, x in enumerate(load):
+        if left and x <= lo and (lo - x) % size == 0:
+            took[s] += 1
+            left -= 1
+    return took
+
+
+def schedule(classes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """For classes (size, number of groups) in descending order of size: the size, and (end, shard) ranges of ranks."""
     heap = [(0, s) for s in range(shards)]
-    placed = {}
-    for item, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        placed[item] = shard
-        heapq.heappush(heap, (load + size, shard))
-    return placed
+    for size, count in classes:
+        ranges, end = [], 0
+        if count <= shards:
+            for _ in range(count):
+                load, shard = heap[0]
+                heapq.heapreplace(heap, (load + size, shard))
+                end += 1
+                ranges.append((end, shard))
+        else:
+            load = [x for x, _ in sorted(heap, key=lambda h: h[1])]
+            for shard, n in enumerate(fill(load, size, count)):
+                if n:
+                    load[shard] += n * size
+                    end += n
+                    ranges.append((end, shard))
+            heap = [(x, s) for s, x in enumerate(load)]
+            heapq.heapify(heap)
+        yield size, ranges
+
+
+def ranked(rows: DataFrame, by: str, hashed: str, order: list[str], part: int, out: str) -> DataFrame:
+    """Adds out: the rank from 0 of each row among those of equal `by`, ordered by part and within a part by `order`. The
+    rows of a value of `by` fall into parts of about `part` rows by the column hashed, which must spread them."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("n_by"))
+    keyed = join_unique(rows, counts.select(by, F.ceil(F.col("n_by") / part).alias("n_parts")), [by]).withColumn("part", F.pmod(hashed, "n_parts")).drop("n_parts")
+    keyed = materialise(keyed, "keyed")
+    sums = keyed.groupBy(by, "part").agg(F.count("*").alias("n_part"))
+    before = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    bases = sums.select(by, "part", F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("base"))
+    within = keyed.withColumn("within", F.row_number().over(Window.partitionBy(by, "part").orderBy(*order)))
+    return within.join(bases, [by, "part"]).withColumn(out, F.col("base") + F.col("within") - 1).drop("base", "within", "part")
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES, giant: int = GIANT, salt: int = SALT) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, part: int = PART) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row."""
-    if min(shards, bundles, giant, salt) < 1:
-        raise ValueError("shards, bundles, giant and salt must be positive")
+    if min(shards, part) < 1:
+        raise ValueError("shards and part must be positive")
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
-    rows = materialise(rows, "rows")
-    groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"))
-    groups = materialise(groups, "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    large = groups.where(F.col("bytes") * giant > total).select("h1", "h2").orderBy("h1", "h2").collect()  # fewer than giant rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    # written once, so that the row numbers stay as they are
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = materialise(rows.groupBy("h1", "h2", "size").agg((F.col("size") * F.count("*")).alias("bytes")), "groups")
+    classes = groups.groupBy("bytes").agg(F.count("*").alias("n")).orderBy(F.col("bytes").desc())
+    placed = list(schedule(((r.bytes, r.n) for r in classes.toLocalIterator()), shards))
+    plan = pa.table({"bytes": pa.array([b for b, _ in placed], pa.int64()), "ranges": pa.array([[{"end": e, "s": s} for e, s in r] for _, r in placed], pa.list_(pa.struct([("end", pa.int64()), ("s", pa.int32())])))})
+    plan = spark.createDataFrame(plan)
+    numbered = ranked(groups, "bytes", "h2", ["h1", "h2", "size"], part, "rank")
+    shard = F.element_at(F.filter("ranges", lambda r: F.col("rank") < r["end"]), 1)["s"]
+    homes = materialise(join_unique(numbered, plan, ["bytes"]).select("h1", "h2", "size", shard.alias("shard")), "homes")
     delete(groups)
-    giants = spark.createDataFrame([(r.h1, r.h2, bundles + i) for i, r in enumerate(large)], "h1 long, h2 long, giant long")
-    part = F.when(F.col("giant").isNull(), F.pmod("h1", F.lit(bundles)) * salt).otherwise(F.col("giant") * salt + F.pmod(F.xxhash64("doc_id"), F.lit(salt)))
-    rows = rows.join(F.broadcast(giants), ["h1", "h2"], "left").select("doc_id", "size", "text_crc32", part.cast("long").alias("part"))
-    counts = [(r.part, r.n, r.bytes) for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()]  # bundles + giant * salt rows at most
-    sizes: dict[int, int] = {}
-    for p, _, size in counts:
-        sizes[p // salt] = sizes.get(p // salt, 0) + size
-    placed, slots, where = schedule(sizes.items(), shards), [0] * shards, []
-    for p, n, _ in sorted(counts):
-        shard = placed[p // salt]
-        where.append((p, shard, slots[shard]))
-        slots[shard] += n
-    offsets = spark.createDataFrame(where, "part long, shard int, base long")
-    order = Window.partitionBy("part").orderBy("doc_id", "size", "text_crc32")
-    numbered = rows.withColumn("within", F.row_number().over(order))
-    return numbered.join(F.broadcast(offsets), "part").select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("within") - 1).alias("slot"))
+    settled = join_unique(rows, homes, ["h1", "h2", "size"]).select("doc_id", "size", "text_crc32", "shard", "row", F.xxhash64("row").alias("spread"))
+    settled = materialise(settled, "settled")
+    delete(homes)
+    delete(rows)
+    return ranked(settled, "shard", "spread", ["row"], part, "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
