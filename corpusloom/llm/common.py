@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,18 +62,18 @@ HOT = 1024
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left joined (inner or left) with right, which has one narrow row a key. Hot keys of left are joined by broadcast,
-    fewer than HOT rows, so that no task reads a large share of left; all others by a shuffle. Keys must not be null in an inner
-    join. left and right are read twice: written tables or cheap plans."""
+    fewer than HOT rows, so that no task reads a large share of left; all others by a shuffle. Null keys match nothing. left and right are read twice: written tables or cheap plans."""
     spark = left.sparkSession
     total = left.count()
     counts = left.groupBy(*keys).agg(F.count("*").alias("n_left")).where(F.col("n_left") * HOT > max(total, HOT * HOT))
     hot = counts.select(*keys).collect()  # fewer than HOT rows
     if not hot:
         return left.join(right, keys, how)
-    marks = F.broadcast(spark.createDataFrame(hot, left.select(*keys).schema))
-    few = right.join(marks, keys, "left_semi")
-    out = left.join(marks, keys, "left_semi").join(F.broadcast(few), keys, how)
-    return out.unionByName(left.join(marks, keys, "left_anti").join(right, keys, how))
+    marks = F.broadcast(spark.createDataFrame(hot, left.select(*keys).schema).select(*(F.col(k).alias(f"hot_{k}") for k in keys)))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys))
+    few = right.join(marks, same, "left_semi")
+    out = left.join(marks, same, "left_semi").join(F.broadcast(few), keys, how)
+    return out.unionByName(left.join(marks, same, "left_anti").join(right, keys, how))
 
 
 def smallest_hashes(rows: DataFrame, key: Column, limit: int) -> DataFrame:

@@ -63,7 +63,7 @@ def test_shards_are_those_of_the_plain_schedule(spark, part):
 def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
     from corpusloom.llm import common
 
-    left = spark.createDataFrame([(i % 3 if i % 2 else 9, i) for i in range(400)] + [(None, -1)], "k int, v int")
+    left = spark.createDataFrame([(i % 3 if i % 2 else 9, i) for i in range(400)] + [(None, -1)] * 60, "k int, v int")
     right = spark.createDataFrame([(k, str(k)) for k in range(10)], "k int, name string")
     want = {how: sorted(map(str, left.join(right, ["k"], how).collect())) for how in ("inner", "left")}
     monkeypatch.setattr(common, "HOT", 4)
