@@ -1,16 +1,25 @@
-"""Licence scan, in DataFrame operations only: TF-IDF cosine of headers to templates, then inheritance by directory.
+"""Licence scan, in DataFrame operations only: TF-IDF cosine of headers and licence files to templates, then inheritance
+by directory.
 
-A header is a line of the text that holds one of CUES, alone or with the two lines after it; all lines of the whole
-text are looked at. Its words (lower case, letters and digits, and numbers with points) are weighted by tf * idf, idf
-from the templates; a word that no template has weighs as much as the rarest. The cosine to every template is summed
-over the words they share: headers are made distinct first, then their words are joined with the templates' sparse
-vectors, which are a parameter of bounded size (MAX_TEMPLATES) and broadcast. The best template of FROM or more is the file's own licence. A file whose name is one of
-FILE_NAMES, or whose best header holds half of its words or more, is a licence file.
+Words (lower case, letters and digits, and numbers with points) are weighted by tf * idf, idf from the templates; a
+word that no template has weighs as much as the rarest. A header is any window of the text's words, of the length of
+the template it is compared with (the whole text, where that is shorter), wherever it stands and however it is
+wrapped; its cosine must be FROM or more. The windows that can reach that are found without comparing all:
+
+* a template's anchors are words that hold so much of its weight that a window without any of them stays below FROM
+  (by Cauchy and Schwarz), long words first. Texts without an anchor of any template are passed over;
+* the words are cut into blocks of the longest template's length; a block that holds an anchor, with as many words on
+  either side, is a region that holds all windows around it. It is compared with the templates of its anchors;
+* a window whose words in common with the template hold less than FROM of its weight is passed over.
+
+Templates of more than MAX_WINDOW words (whole licence texts) are no headers. A licence file, whose name fits
+FILE_NAMES, is compared as a whole text with all templates, too. The best template of FROM or more is the
+file's own licence; a file with such a name, or whose best header is half of its words or more, is a licence file.
 
 A file without a licence of its own inherits that of the nearest ancestor directory that holds a licence file: each
 distinct directory is joined by path with its ancestors that have one; of several licence files in a directory the one
-of highest cosine, then first path, counts. Directories are made distinct before they are joined, so that a directory
-of very many files is one row.
+of highest cosine, then first path, counts. Directories are made distinct before they are joined, and hot ones are
+joined by broadcast. Regions are scored where the text is read; only scores are shuffled, and the words of licence files.
 
 Edge cases: a null text has no header; a null path is in no directory and inherits nothing; ties between templates go
 to the first name; repeated rows give repeated results; extra columns are ignored; empty tables give empty results.
@@ -18,13 +27,14 @@ to the first name; repeated rows give repeated results; extra columns are ignore
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, table
+from corpusloom.llm.common import delete, join_unique, materialise, table
 
 # Short forms of public licence notices.
 TEMPLATES = [
@@ -50,12 +60,11 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
 ]
-CUES = ("licen", "copyright", "redistribut", "hereby granted", "public domain", "creative commons", "rights reserved")
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
-FROM = 0.7
+FROM = 0.8
 MAX_TEMPLATES = 1000
-#: Distinct licence headers up to which they are broadcast to the files' headers.
-MAX_BROADCAST_HEADERS = 100_000
+#: Words of the longest template that headers are compared with.
+MAX_WINDOW = 64
 WORD = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
 
 
@@ -80,54 +89,114 @@ def weights(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float,
     return idf, other, out
 
 
-def _cue(c: Column) -> Column:
-    out = c.contains(CUES[0])
-    for x in CUES[1:]:
-        out = out | c.contains(x)
+def anchors(vector: dict[str, float], threshold: float) -> list[str]:
+    """Words of a unit vector without which no text reaches the threshold; short ones, which are common, come last."""
+    rest, out = sum(x * x for x in vector.values()), []
+    for w, x in sorted(vector.items(), key=lambda e: (len(e[0]) < 4, -e[1], e[0])):
+        if rest < threshold * threshold - 1e-9:
+            break
+        out.append(w)
+        rest -= x * x
+    return out
+
+
+def _constant(value, kind: str) -> Column:
+    """A literal map, which the optimizer folds."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def asked(templates: list[tuple[str, str]], threshold: float) -> dict[str, list[int]]:
+    """Anchor words, and the numbers of the templates whose headers they may belong to."""
+    out: dict[str, list[int]] = {}
+    for t, ((_, text), (_, vector)) in enumerate(zip(templates, weights(templates)[2])):
+        if 0 < len(words_of(text)) <= MAX_WINDOW:
+            for w in anchors(vector, threshold):
+                out.setdefault(w, []).append(t)
     return out
 
 
-def similarities(headers: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """header, licence and similarity of the best template of every distinct header."""
-    if not 0 < len(templates) <= MAX_TEMPLATES:
-        raise ValueError(f"1 to {MAX_TEMPLATES} templates")
-    spark = headers.sparkSession
+def anchored(low: Column, by_word: dict[str, list[int]]) -> Column:
+    """Whether a text in lower case holds an anchor."""
+    some = "|".join(re.escape(w) for w in sorted(by_word))
+    return low.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{some})(?![\p{{L}}\p{{N}}])") if some else F.lit(False)
+
+
+def headers(rows: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """row, licence, similarity and words (of the window) of the windows of each row's words that reach the threshold.
+    rows: row, low (text in lower case)."""
+    idf, other, vectors = weights(templates)
+    length = {t: len(words_of(text)) for t, (_, text) in enumerate(templates)}
+    by_word = asked(templates, threshold)
+    short = sorted({t for ts in by_word.values() for t in ts})
+    if not short:
+        return rows.sparkSession.createDataFrame([], "row long, licence string, similarity double, words int")
+    reach = max(length[t] for t in short)
+    found = rows.where(anchored(F.col("low"), by_word))
+    found = found.select("row", F.explode(F.array(F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))).alias("all"))
+    names = _constant(sorted(by_word), "array<string>")
+    at = F.filter(F.transform("all", lambda w, i: F.when(F.array_contains(names, w), F.floor(i / reach).cast("int"))), lambda i: i.isNotNull())
+    found = found.select("row", "all", F.explode(F.array_distinct(at)).alias("block"))
+    first = F.greatest((F.col("block") - 1) * reach, F.lit(0))
+    region = F.slice("all", first + 1, (F.col("block") + 2) * reach - first)
+    found = found.select("row", F.explode(F.array(region)).alias("words"))
+    wanted = _constant(by_word, "map<string,array<int>>")
+    ts = F.array_distinct(F.flatten(F.transform(F.array_intersect("words", names), lambda w: F.try_element_at(wanted, w))))
+    found = found.select("row", "words", F.explode(ts).alias("t"))
+    spark = rows.sparkSession
+    sides = spark.createDataFrame([(t, templates[t][0], length[t], vectors[t][1]) for t in short], "t int, licence string, size int, xs map<string,double>")
+    found = found.join(F.broadcast(sides), "t")  # MAX_TEMPLATES rows at most
+    found = found.withColumn("start", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("size") + 1, F.lit(1)))))
+    window = F.slice("words", F.col("start"), F.col("size"))
+    x = lambda w: F.coalesce(F.try_element_at(F.col("xs"), w), F.lit(0.0))
+    bound = F.aggregate(window, F.lit(0.0), lambda a, w: a + x(w) * x(w))
+    found = found.where(bound >= threshold * threshold - 1e-9).select("row", "licence", "xs", F.explode(F.array(window)).alias("window"))
+    idfs = _constant(idf, "map<string,double>")
+    weighed = F.transform(F.array_distinct("window"), lambda w: F.struct(w.alias("w"), (F.size(F.filter("window", lambda v: v == w)) * F.coalesce(F.try_element_at(idfs, w), F.lit(other))).alias("weight")))
+    found = found.select("row", "licence", "xs", F.size("window").alias("words"), F.explode(F.array(weighed)).alias("weighed"))
+    dot = F.aggregate("weighed", F.lit(0.0), lambda a, s: a + s["weight"] * x(s["w"]))
+    norm = F.sqrt(F.aggregate("weighed", F.lit(0.0), lambda a, s: a + s["weight"] * s["weight"]))
+    return found.select("row", "licence", F.round(dot / norm, 9).alias("similarity"), "words").where(F.col("similarity") >= threshold)
+
+
+def files(rows: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """row, licence, similarity and words of the templates whose cosine to the row's whole text reaches the threshold.
+    rows: row, low."""
+    spark = rows.sparkSession
     idf, other, vectors = weights(templates)
     idfs = spark.createDataFrame(sorted(idf.items()), "w string, idf double")
-    sparse = spark.createDataFrame([(i, name, w, x) for i, (name, v) in enumerate(vectors) for w, x in sorted(v.items())], "t int, licence string, w string, x double")
-    terms = headers.select("header").distinct().select("header", F.explode(F.regexp_extract_all("header", F.lit(WORD), F.lit(0))).alias("w")).groupBy("header", "w").agg(F.count("*").alias("tf"))
-    terms = terms.join(F.broadcast(idfs), "w", "left").select("header", "w", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("weight"))
-    norms = terms.groupBy("header").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = terms.join(F.broadcast(sparse), "w").groupBy("header", "t", "licence").agg(F.sum(F.col("weight") * F.col("x")).alias("dot"))
-    scored = dots.join(norms, "header").select("header", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity"))
-    return scored.groupBy("header").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("best")).select("header", "best.licence", (-F.col("best.s")).alias("similarity"))
+    sparse = spark.createDataFrame([(name, t, w, x) for t, (name, v) in enumerate(vectors) for w, x in sorted(v.items())], "licence string, t int, w string, x double")
+    terms = rows.select("row", F.explode(F.regexp_extract_all("low", F.lit(WORD), F.lit(0))).alias("w")).groupBy("row", "w").agg(F.count("*").alias("tf"))
+    # both sides are of bounded size, as the templates are
+    terms = terms.join(F.broadcast(idfs), "w", "left").select("row", "w", "tf", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("weight"))
+    norms = terms.groupBy("row").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.sum("tf").cast("int").alias("words"))
+    dots = terms.join(F.broadcast(sparse), "w").groupBy("row", "t", "licence").agg(F.sum(F.col("weight") * F.col("x")).alias("dot"))
+    return dots.join(norms, "row").select("row", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity"), "words").where(F.col("similarity") >= threshold)
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = FROM) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = FROM) -> DataFrame:
     """doc_id, path, own_licence, similarity, licence, origin (header, file or inherited) and from_dir of every row."""
-    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    rows = rows.select("doc_id", "path", F.when(_cue(F.col("low")), F.col("low")).alias("low"))
-    lines = F.split("low", "\n", -1)
-    # a line with a cue, alone and with the two lines after it
-    cued = F.filter(F.transform(lines, lambda x, i: F.struct(F.trim(x).alias("one"), i.alias("i"))), lambda s: _cue(s["one"]))
-    both = F.flatten(F.transform(cued, lambda s: F.array(s["one"], F.concat_ws(" ", F.slice(lines, s["i"] + 1, F.lit(3))))))
-    size = F.size(F.regexp_extract_all("low", F.lit(WORD), F.lit(0))).cast("long")
-    rows = rows.select("doc_id", "path", F.array_distinct(both).alias("headers"), F.when(F.col("low").isNotNull(), size).alias("words"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False)).alias("named"))
-    # written once, so that the row numbers stay as they are
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "files")
-    headers = rows.where("headers is not null").select("row", "words", F.explode("headers").alias("header"))
-    known = materialise(similarities(headers, templates).where(F.col("similarity") >= threshold), "headers")
-    # the header of a third of all files is one row here; where the table is too large, a skewed join splits it
-    found = headers.join(F.broadcast(known) if known.count() <= MAX_BROADCAST_HEADERS else known, "header")
-    share = F.size(F.regexp_extract_all("header", F.lit(WORD), F.lit(0))) / F.col("words")
-    own = found.groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("licence").alias("l"), (-share).alias("share"))).alias("best")).select("row", F.col("best.l").alias("own_licence"), (-F.col("best.s")).alias("similarity"), (-F.col("best.share")).alias("share"))
-    rows = materialise(rows.drop("headers", "words").join(own, "row", "left").withColumn("is_file", F.col("own_licence").isNotNull() & (F.col("named") | (F.col("share") >= 0.5))), "own")
-    holders = rows.where("is_file and path is not null").groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "path", "own_licence")).alias("best")).select(F.col("dir").alias("up"), F.col("best.own_licence").alias("given"))
+    if not 0 < len(templates) <= MAX_TEMPLATES or not 0 < threshold <= 1:
+        raise ValueError(f"1 to {MAX_TEMPLATES} templates, and a threshold within 0 and 1")
+    named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    # written once, so that the row numbers stay as they are; texts without an anchor are not needed again
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "path", F.when(named | anchored(low, asked(templates, threshold)), low).alias("low"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
+    found = materialise(headers(rows, templates, threshold).unionByName(files(rows.where(named), templates, threshold)), "found")
+    best = found.groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("licence").alias("l"), (-F.col("words")).alias("n"))).alias("best"))
+    best = best.select("row", F.col("best.l").alias("own_licence"), (-F.col("best.s")).alias("similarity"), (-F.col("best.n")).alias("n"))
+    sizes = rows.where("low is not null").select("row", F.size(F.regexp_extract_all("low", F.lit(WORD), F.lit(0))).alias("size"))
+    sized = sizes.join(best, "row").select("row", "own_licence", "similarity", (2 * F.col("n") >= F.col("size")).alias("mostly"))
+    own = rows.select("doc_id", "path", "row", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), named.alias("named")).join(sized, "row", "left")
+    own = materialise(own.withColumn("is_file", F.col("own_licence").isNotNull() & (F.col("named") | F.col("mostly"))).drop("named", "mostly"), "own")
+    delete(rows)
+    delete(found)
+    holders = own.where("is_file and path is not null").groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "path", "own_licence")).alias("best")).select(F.col("dir").alias("up"), F.col("best.own_licence").alias("given"))
     parts = F.split("dir", "/", -1)
-    dirs = rows.where("own_licence is null and path is not null").select("dir").distinct()
+    dirs = own.where("own_licence is null and path is not null").select("dir").distinct()
     ups = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"), parts.alias("parts")).select("dir", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("up"))
-    near = ups.join(holders, "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "given")).alias("near")).select("dir", F.col("near.up").alias("from_dir"), F.col("near.given").alias("given"))
-    out = rows.join(near, "dir", "left")
+    near = join_unique(ups, holders, ["up"]).groupBy("dir").agg(F.max(F.struct("depth", "up", "given")).alias("near")).select("dir", F.col("near.up").alias("from_dir"), F.col("near.given").alias("given"))
+    out = join_unique(own, materialise(near, "near"), ["dir"], "left")
     free = F.col("own_licence").isNull() & F.col("path").isNotNull()
     origin = F.when(F.col("is_file"), "file").when(F.col("own_licence").isNotNull(), "header").when(free & F.col("given").isNotNull(), "inherited")
     return out.select("doc_id", "path", "own_licence", F.round("similarity", 6).alias("similarity"), F.coalesce("own_licence", F.when(free, F.col("given"))).alias("licence"), origin.alias("origin"), F.when(free, F.col("from_dir")).alias("from_dir"))
@@ -140,27 +209,24 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = FROM) -> str:
-    """DuckDB SQL for op4."""
+    """DuckDB SQL for op4: every window of every text whose words in common with a template hold enough of its weight. The
+    query's paths have no licence file's name, so that no text is compared as a whole."""
     idf, other, vectors = weights(templates)
     idfs = ", ".join(f"('{w}', {x!r}::double)" for w, x in sorted(idf.items()))
-    sparse = ", ".join(f"({i}, '{n}', '{w}', {x!r}::double)" for i, (n, v) in enumerate(vectors) for w, x in sorted(v.items()))
-    cue = lambda c: "(" + " or ".join(f"contains({c}, '{x}')" for x in CUES) + ")"
-    word = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
-    return f"""
-with d as (select doc_id, coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 50) as dir, doc_id || '.txt' as name, lower(coalesce(text, '')) as low from documents),
-c as (select doc_id, low, string_split(low, chr(10)) as lines, len(regexp_extract_all(low, '{word}')) as words from d where {cue("low")}),
-i as (select *, unnest(range(1, len(lines) + 1)) as i from c),
-h as (select doc_id, words, trim(lines[i], ' ') as header from i where {cue("lines[i]")}
-  union select doc_id, words, array_to_string(lines[i:i + 2], ' ') from i where {cue("lines[i]")}),
-w as (select header, unnest(regexp_extract_all(header, '{word}')) as w from (select distinct header from h)),
-k as (select header, w.w as w, count(*) * coalesce(any_value(v.idf), {other!r}::double) as weight from w left join (values {idfs}) v(w, idf) on w.w = v.w group by all),
-n as (select header, sqrt(sum(weight * weight)) as norm from k group by header),
-t as (select header, t, licence, sum(weight * x) as dot from k join (values {sparse}) s(t, licence, w, x) on k.w = s.w group by all),
-s as (select t.header, licence, round(dot / norm, 9) as similarity from t join n on t.header = n.header),
-b as (select header, licence, similarity from s qualify row_number() over (partition by header order by similarity desc, licence) = 1),
-o as (select doc_id, licence, similarity, len(regexp_extract_all(h.header, '{word}')) / words as share from h join b on h.header = b.header where similarity >= {threshold}
-  qualify row_number() over (partition by doc_id order by similarity desc, licence, share desc) = 1),
-r as (select d.doc_id, dir, dir || '/' || name as path, licence as own_licence, similarity, licence is not null and share >= 0.5 as is_file from d left join o on d.doc_id = o.doc_id),
+    sparse = ", ".join(f"({t}, '{n}', {len(words_of(templates[t][1]))}, '{w}', {x!r}::double)" for t, (n, v) in enumerate(vectors) for w, x in sorted(v.items()))
+    return rf"""
+with s(t, licence, size, w, x) as (values {sparse}), v(w, idf) as (values {idfs}),
+d as (select doc_id, coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 50) as dir, doc_id || '.txt' as name, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') as words from documents),
+p as (select doc_id, unnest(words) as w, generate_subscripts(words, 1) as pos, len(words) as total from d),
+h as (select doc_id, t, licence, size, total, pos, x * x as xx from p join s on p.w = s.w),
+k as (select doc_id, t, licence, size, total, unnest(range(greatest(1, pos - size + 1), least(pos, greatest(1, total - size + 1)) + 1)) as start, xx from h),
+c as (select doc_id, t, licence, size, start from k group by all having sum(xx) >= {threshold * threshold - 1e-9}),
+n as (select c.*, words[start:start + size - 1] as win from c join d on c.doc_id = d.doc_id),
+f as (select doc_id, t, licence, start, len(win) as words, w, count(*) as tf from (select *, unnest(win) as w from n) group by all),
+z as (select doc_id, f.licence, f.words, round(sum(tf * coalesce(idf, {other!r}::double) * coalesce(x, 0)) / sqrt(sum(pow(tf * coalesce(idf, {other!r}::double), 2))), 9) as similarity
+  from f left join v on f.w = v.w left join s on f.t = s.t and f.w = s.w group by doc_id, f.t, f.licence, start, f.words),
+o as (select * from z where similarity >= {threshold} qualify row_number() over (partition by doc_id order by similarity desc, licence, words desc) = 1),
+r as (select d.doc_id, dir, dir || '/' || name as path, licence as own_licence, similarity, licence is not null and 2 * o.words >= len(d.words) as is_file from d left join o on d.doc_id = o.doc_id),
 g as (select dir as up, own_licence as given from r where is_file qualify row_number() over (partition by dir order by similarity desc, path) = 1),
 x as (select r.doc_id, g.up, g.given from r join g on r.own_licence is null and (g.up = r.dir or starts_with(r.dir, g.up || '/') or g.up = '') qualify row_number() over (partition by r.doc_id order by length(g.up) desc) = 1)
 select r.doc_id, path, own_licence, round(similarity, 6) as similarity, coalesce(own_licence, given) as licence,
