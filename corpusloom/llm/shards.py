@@ -21,16 +21,18 @@ shard; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import delete, join_unique, materialise, table
 
 SHARDS = 16
-PART = 1 << 16
+#: Rows of a part, on average.
+PART = 1 << 13
 
 
 def fill(load: list[int], size: int, count: int) -> list[int]:
@@ -75,12 +77,10 @@ def schedule(classes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[
         yield size, ranges
 
 
-def ranked(rows: DataFrame, by: str, hashed: str, order: list[str], part: int, out: str) -> DataFrame:
+def ranked(rows: DataFrame, by: str, hashed: Column, order: list[str], parts: int, out: str) -> DataFrame:
     """Adds out: the rank from 0 of each row among those of equal `by`, ordered by part and within a part by `order`. The
-    rows of a value of `by` fall into parts of about `part` rows by the column hashed, which must spread them."""
-    counts = rows.groupBy(by).agg(F.count("*").alias("n_by"))
-    keyed = join_unique(rows, counts.select(by, F.ceil(F.col("n_by") / part).alias("n_parts")), [by]).withColumn("part", F.pmod(hashed, "n_parts")).drop("n_parts")
-    keyed = materialise(keyed, "keyed")
+    column hashed deals rows to the parts evenly."""
+    keyed = rows.withColumn("part", F.pmod(hashed, F.lit(parts)))
     sums = keyed.groupBy(by, "part").agg(F.count("*").alias("n_part"))
     before = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
     bases = sums.select(by, "part", F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("base"))
@@ -102,15 +102,16 @@ def sharded(docs: DataFrame, shards: int = SHARDS, part: int = PART) -> DataFram
     placed = list(schedule(((r.bytes, r.n) for r in classes.toLocalIterator()), shards))
     plan = pa.table({"bytes": pa.array([b for b, _ in placed], pa.int64()), "ranges": pa.array([[{"end": e, "s": s} for e, s in r] for _, r in placed], pa.list_(pa.struct([("end", pa.int64()), ("s", pa.int32())])))})
     plan = spark.createDataFrame(plan)
-    numbered = ranked(groups, "bytes", "h2", ["h1", "h2", "size"], part, "rank")
+    parts = math.ceil(max(1, groups.count()) / part)
+    numbered = ranked(join_unique(groups, plan, ["bytes"]), "bytes", F.col("h2"), ["h1", "h2", "size"], parts, "rank")
     shard = F.element_at(F.filter("ranges", lambda r: F.col("rank") < r["end"]), 1)["s"]
-    homes = materialise(join_unique(numbered, plan, ["bytes"]).select("h1", "h2", "size", shard.alias("shard")), "homes")
+    homes = materialise(numbered.select("h1", "h2", "size", shard.alias("shard")), "homes")
     delete(groups)
-    settled = join_unique(rows, homes, ["h1", "h2", "size"]).select("doc_id", "size", "text_crc32", "shard", "row", F.xxhash64("row").alias("spread"))
-    settled = materialise(settled, "settled")
+    settled = materialise(join_unique(rows, homes, ["h1", "h2", "size"]).select("doc_id", "size", "text_crc32", "shard", "row"), "settled")
     delete(homes)
     delete(rows)
-    return ranked(settled, "shard", "spread", ["row"], part, "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    parts = math.ceil(max(1, settled.count()) / part)
+    return ranked(settled, "shard", F.xxhash64("row"), ["row"], parts, "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
