@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the characters that Python's str.strip removes.
-WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 UNITS = ("", "K", "M", "B", "T")
 
 
 def strip(c: Column | str) -> Column:
     """Text without white space at either end, as Python's str.strip defines it."""
-    return F.regexp_replace(c, f"^{WHITE}|{WHITE}" + r"\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def human(c: Column) -> Column:

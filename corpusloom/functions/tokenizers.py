@@ -1,7 +1,9 @@
-"""Pluggable tokenizers: an interface, three built in, and rank-file bundles through tiktoken where it is installed.
+"""Pluggable tokenizers: an interface, three built in, rank-file bundles through tiktoken and tokenizer.json files through
+the tokenizers library, where these are installed.
 
-A tokenizer is described by a name that workers can resolve: utf8_bytes, whitespace, pretoken, or tiktoken:<folder>.
-Counts of the built-in ones are JVM expressions; ids of all go through one Arrow UDF."""
+A tokenizer is described by a name that workers can resolve: utf8_bytes, whitespace, pretoken, tiktoken:<folder>,
+json:<file or folder>, or the path of a folder that holds one of the two. Counts of the built-in ones are JVM
+expressions; ids of all go through one Arrow UDF."""
 
 from __future__ import annotations
 
@@ -20,6 +22,10 @@ from pyspark.sql.types import ArrayType, IntegerType
 SPLIT_PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 
 
+#: Texts by which an exported bundle is checked: words, numbers, code, white space, several scripts.
+SAMPLES = ("Hello there, it's 12345 o'clock.", "def f(x):\n\treturn x ** 2  # 2024-01-31\n\n", "Ünïcödé, 漢字 и кириллица 🙂👍🏽", "  spaces   and\r\nlines \n", "")
+
+
 class Tokenizer(Protocol):
     n_vocab: int
     special_token_ids: frozenset[int]
@@ -93,7 +99,26 @@ class Pretoken(_Pieces):
     pattern = SPLIT_PATTERN
 
 
-class RankBundle:
+class _Named(_Framed):
+    """BOS and EOS are special tokens of the vocabulary, given by name."""
+
+    bos: int | None = None
+    eos: int | None = None
+
+    def _frame(self, bos: str | None, eos: str | None) -> None:
+        for side, token in (("bos", bos), ("eos", eos)):
+            if token is not None:
+                if (found := self.token_to_id(token)) is None:
+                    raise ValueError(f"{token!r} is no token of the vocabulary")
+                setattr(self, side, found)
+
+    def encode(self, text: str, add_bos: bool = False, add_eos: bool = False) -> list[int]:
+        if (add_bos and self.bos is None) or (add_eos and self.eos is None):
+            raise ValueError("the tokenizer was loaded without a BOS or EOS token")
+        return super().encode(text, add_bos, add_eos)
+
+
+class RankBundle(_Named):
     """A folder with <name>.tiktoken and tokenizer_meta.json (name, pat_str, special_tokens, n_vocab)."""
 
     def __init__(self, folder: str, bos: str | None = None, eos: str | None = None, specials: str = "parse"):
@@ -108,11 +133,40 @@ class RankBundle:
             raise ValueError(f"n_vocab is {self.enc.n_vocab}, the bundle says {meta['n_vocab']}")
         self.n_vocab, self.policy = self.enc.n_vocab, specials
         self.special_token_ids = frozenset(meta["special_tokens"].values())
-        self.bos, self.eos = (self.token_to_id(t) if t else None for t in (bos, eos))
+        self._frame(bos, eos)
 
-    def encode(self, text: str, add_bos: bool = False, add_eos: bool = False) -> list[int]:
-        ids = self.enc.encode(text, allowed_special="all") if self.policy == "parse" else self.enc.encode_ordinary(text)
-        return [self.bos] * (add_bos and self.bos is not None) + ids + [self.eos] * (add_eos and self.eos is not None)
+    def _ids(self, text: str) -> list[int]:
+        try:
+            return self.enc.encode(text, allowed_special="all") if self.policy == "parse" else self.enc.encode_ordinary(text)
+        except ValueError:  # its split overflows its stack on runs of about a million characters
+            return self._ids_by_pieces(text)
+
+    def _ids_by_pieces(self, text: str) -> list[int]:
+        import regex
+
+        names = sorted(self.enc.special_tokens_set, key=len, reverse=True) if self.policy == "parse" else []
+        parts = regex.split(f"({'|'.join(map(regex.escape, names))})", text) if names else [text]
+        out: list[int] = []
+        for i, part in enumerate(parts):
+            if i % 2:
+                out.append(self.enc.encode_single_token(part))
+            else:
+                out += [t for piece in regex.findall(self.enc._pat_str, part) for t in self.enc._encode_single_piece(piece)]
+        return out
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        """Special tokens in the text count as plain text."""
+        return self.enc.encode_ordinary(text)
+
+    def encode_batch(self, texts: list[str], threads: int = 8) -> list[list[int]]:
+        return self.enc.encode_batch(texts, num_threads=threads, allowed_special="all") if self.policy == "parse" else self.enc.encode_ordinary_batch(texts, num_threads=threads)
+
+    def decode_batch(self, batch: list[list[int]], threads: int = 8) -> list[str]:
+        return self.enc.decode_batch(batch, num_threads=threads)
+
+    def token_bytes(self, token_id: int) -> bytes:
+        """The bytes of one token, whole characters or not."""
+        return self.enc.decode_single_token_bytes(token_id)
 
     def decode(self, ids: list[int], skip_special: bool = False) -> str:
         return self.enc.decode([i for i in ids if not (skip_special and i in self.special_token_ids)])
@@ -124,6 +178,33 @@ class RankBundle:
             return None
 
 
+class JsonTokenizer(_Named):
+    """A tokenizer.json (a file, or the folder that holds it) through the tokenizers library, without truncation, padding
+    or the tokens of its post-processor."""
+
+    def __init__(self, path: str, bos: str | None = None, eos: str | None = None):
+        import tokenizers
+
+        self.inner = tokenizers.Tokenizer.from_file(os.path.join(path, "tokenizer.json") if os.path.isdir(path) else path)
+        self.inner.no_truncation()
+        self.inner.no_padding()
+        self.n_vocab = 1 + max(self.inner.get_vocab(with_added_tokens=True).values())
+        self.special_token_ids = frozenset(i for i, t in self.inner.get_added_tokens_decoder().items() if t.special)
+        self._frame(bos, eos)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.inner.encode(text, add_special_tokens=False).ids
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.inner.encode_batch(texts, add_special_tokens=False)]
+
+    def decode(self, ids: list[int], skip_special: bool = False) -> str:
+        return self.inner.decode(ids, skip_special_tokens=skip_special)
+
+    def token_to_id(self, token: str) -> int | None:
+        return self.inner.token_to_id(token)
+
+
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     """Lines of base64, a space and a rank; blank lines are skipped."""
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x.strip())}
@@ -133,16 +214,23 @@ def format_ranks(ranks: dict[bytes, int]) -> bytes:
     return b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in sorted(ranks.items(), key=lambda x: x[1]))
 
 
-def export_bundle(folder: str, name: str, pattern: str, ranks: dict[bytes, int], specials: dict[str, int]) -> None:
+def export_bundle(folder: str, name: str, pattern: str, ranks: dict[bytes, int], specials: dict[str, int], check: Tokenizer | None = None, samples: tuple[str, ...] = SAMPLES) -> None:
+    """Write a bundle. With a tokenizer to check against, the bundle is read back and must give its ids for the samples, and
+    the samples for its ids; else the folder is of no use and an error is raised."""
     os.makedirs(folder, exist_ok=True)
     with open(os.path.join(folder, f"{name}.tiktoken"), "wb") as f:
         f.write(format_ranks(ranks))
     with open(os.path.join(folder, "tokenizer_meta.json"), "w", encoding="utf-8") as f:
         json.dump({"name": name, "pat_str": pattern, "special_tokens": specials, "n_vocab": max([*ranks.values(), *specials.values()]) + 1}, f, indent=2)
+    if check is not None:
+        made = RankBundle(folder)
+        for text in (*samples, *specials):
+            if made.encode(text) != check.encode(text) or made.decode(made.encode(text)) != text:
+                raise ValueError(f"the bundle differs from its source for {text!r}")
 
 
 def byte_alphabet() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 characters stand
+    """Fixed values, by rule: the printable character that stands for each byte in byte-level vocabularies: printable Latin-1 characters stand
     for themselves, all other bytes, in order, for the characters from 256 on."""
     keep = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     rest = [b for b in range(256) if b not in set(keep)]
@@ -153,20 +241,37 @@ def ranks_from_json(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     """Ranks and special tokens of a byte-level BPE tokenizer.json; other kinds of model are refused."""
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
-    model = data["model"]
-    if model.get("type") != "BPE" or model.get("byte_fallback") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+    model, added = data["model"], {t["content"]: t["id"] for t in data.get("added_tokens", [])}
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("byte_fallback", "end_of_word_suffix", "continuing_subword_prefix")):
         raise ValueError("only byte-level BPE without byte fallback can be converted")
-    added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
-    byte_of = {c: b for b, c in byte_alphabet().items()}
-    return {bytes(byte_of[c] for c in token): rank for token, rank in model["vocab"].items() if token not in added}, added
+    # a token's characters stand for bytes of the same number once the alphabet is undone
+    undone = {ord(c): chr(b) for b, c in byte_alphabet().items()}
+    return {t.translate(undone).encode("latin-1"): rank for t, rank in model["vocab"].items() if t not in added}, added
+
+
+def describe(name: str) -> tuple[str, str]:
+    """Kind and place of a tokenizer's name: a built-in one, or that of a folder by what it holds."""
+    kind, _, place = name.partition(":")
+    if kind in BUILT_IN and not place:
+        return kind, ""
+    if kind in ("tiktoken", "json") and place:
+        return kind, place
+    for kind, file in (("tiktoken", "tokenizer_meta.json"), ("json", "tokenizer.json")):
+        if os.path.isfile(os.path.join(name, file)):
+            return kind, name
+    raise ValueError(f"no tokenizer: {name!r} is none of {', '.join(BUILT_IN)}, tiktoken:<folder> or json:<file>, nor a folder with tokenizer_meta.json or tokenizer.json")
+
+
+BUILT_IN = {"utf8_bytes": Utf8Bytes, "whitespace": Whitespace, "pretoken": Pretoken}
 
 
 @functools.lru_cache(maxsize=8)
-def load(name: str) -> Tokenizer:
-    """The tokenizer of a name; made once a worker."""
-    if name.startswith("tiktoken:"):
-        return RankBundle(name.partition(":")[2])
-    return {"utf8_bytes": Utf8Bytes, "whitespace": Whitespace, "pretoken": Pretoken}[name]()
+def load(name: str, bos: str | None = None, eos: str | None = None) -> Tokenizer:
+    """The tokenizer of a name, with BOS and EOS by their names where it has none of its own; made once a worker."""
+    kind, place = describe(name)
+    if kind in BUILT_IN:
+        return BUILT_IN[kind]()
+    return RankBundle(place, bos, eos) if kind == "tiktoken" else JsonTokenizer(place, bos, eos)
 
 
 def ids(name: str, text: Column, add_bos: bool = False, add_eos: bool = False) -> Column:

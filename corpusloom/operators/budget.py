@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import hashing
-from corpusloom.operators.prefix import CHUNK, prefix_sum
+from corpusloom.operators.prefix import CHUNK, prefix_fold, prefix_sum
 
 MAX_VAL_TOKENS = 20_000_000
 
@@ -80,7 +80,7 @@ def subset_counters(seen: DataFrame) -> DataFrame:
 
 
 def running(df: DataFrame, value: str, order: str, by: list[str] | None = None) -> DataFrame:
-    """Adds best (running minimum), and is_best: strictly below all before it."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
-    before = F.min(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("best", F.min(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("is_best", before.isNull() | (F.col(value) < before))
+    """Adds best (running minimum), and is_best: strictly below all before it. order: an integer
+    column."""
+    out = prefix_fold(df, F.col(value), "min", order, by, out="_before")
+    return out.withColumn("best", F.least("_before", value)).withColumn("is_best", F.col("_before").isNull() | (F.col(value) < F.col("_before"))).drop("_before")

@@ -54,12 +54,17 @@ def top_p(logits: Column, p: float) -> Column:
     def ranked(probs):
         return F.array_sort(F.filter(F.transform(probs, lambda q, i: F.struct((-q).alias("m"), i.cast("int").alias("id"))), lambda s: s["m"].isNotNull()))
 
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("kept"))
+    def last_kept(order):
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(-2.0).alias("m"), F.lit(-1).alias("id"))
+        step = lambda a, s: F.when(a["sum"] > p, a).otherwise(F.struct((a["sum"] - s["m"]).alias("sum"), s["m"].alias("m"), s["id"].alias("id")))
+        return F.aggregate(order, start, step)
 
-    def kept(order):
-        return F.aggregate(order, start, lambda a, s: F.struct((a["sum"] - s["m"]).alias("sum"), F.when(a["sum"] > p, a["kept"]).otherwise(F.concat(a["kept"], F.array(s["id"]))).alias("kept")), lambda a: a["kept"])
+    def cut(l, probs):
+        # kept is what ranks no later than the last one that is
+        kept = lambda q, i, k: (-q < k["m"]) | ((-q == k["m"]) & (i.cast("int") <= k["id"]))
+        return let(last_kept(ranked(probs)), lambda k: F.transform(probs, lambda q, i: F.when(kept(q, i, k), F.get(l, i))))
 
-    return let(logits, lambda l: let(kept(ranked(softmax(l))), lambda k: F.transform(l, lambda x, i: F.when(F.array_contains(k, i.cast("int")), x))))
+    return let(logits, lambda l: let(softmax(l), lambda probs: cut(l, probs)))
 
 
 def draw(logits: Column, uniform: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.prefix import prefix_fold
+
 
 def weighted_mean(loss: str, weight: str) -> Column:
     """Sum of loss times weight over the sum of weights, which counts as one at least."""
@@ -12,7 +14,8 @@ def weighted_mean(loss: str, weight: str) -> Column:
 
 
 def throughput(rows: DataFrame, step: str, tokens: str, seconds: str, by: list[str] | None = None) -> DataFrame:
-    """Adds tokens_per_second between a log point and the one before it; a time step counts as 1e-9 s at least."""
-    w = Window.partitionBy(*(by or [])).orderBy(step)
-    dt = F.greatest(F.col(seconds) - F.lag(seconds).over(w), F.lit(1e-9))
-    return rows.withColumn("tokens_per_second", (F.col(tokens) - F.lag(tokens).over(w)) / dt)
+    """Adds tokens_per_second between a log point and the one before it, by an integer step; a time step counts as 1e-9 s at least."""
+    point = F.struct(F.col(step).alias("step"), F.col(tokens).alias("tokens"), F.col(seconds).alias("seconds"))
+    out = prefix_fold(rows, point, "max", step, by, out="_last")  # the last point before, as steps rise
+    dt = F.greatest(F.col(seconds) - F.col("_last.seconds"), F.lit(1e-9))
+    return out.withColumn("tokens_per_second", (F.col(tokens) - F.col("_last.tokens")) / dt).drop("_last")

@@ -65,15 +65,19 @@ def lookup(indices: DataFrame, index: DataFrame, idx: str = "idx") -> DataFrame:
     """Shard and block within the shard of global block numbers of one split; a negative number counts from the end and
     one that is out of range raises an error.
 
-    index has one row a shard. It is broadcast as one sorted array when it is small enough to be metadata, which a split
-    of 10**14 tokens in shards of 10**8 (10**6 rows) still is; beyond, shards are joined by range of blocks."""
+    index has one row a shard. Blocks fall into buckets as wide as a mean shard; each shard is listed under the buckets
+    that it reaches into (fewer than two rows a shard in all), so that an equi-join finds it."""
     total = F.col("_total")
-    sums = index.agg(F.sum("blocks").alias("_total"), F.sort_array(F.collect_list(F.struct("first_block", "shard", "blocks"))).alias("_index"))
+    sums = index.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("_total"), F.greatest(F.floor(F.sum("blocks") / F.count("*")), F.lit(1)).alias("_width"))
     rows = indices.join(F.broadcast(sums))  # one row
     at = F.when(F.col(idx) < 0, F.col(idx) + total).otherwise(F.col(idx))
-    rows = rows.withColumn("_at", F.when((at < 0) | (at >= total), F.raise_error(F.lit("block out of range")).cast("long")).otherwise(at))
-    hit = F.element_at(F.filter("_index", lambda s: (s["first_block"] <= F.col("_at")) & (F.col("_at") < s["first_block"] + s["blocks"])), 1)
-    return rows.withColumn("_hit", hit).select(*indices.columns, F.col("_at").alias("global_idx"), F.col("_hit.shard").alias("shard"), (F.col("_at") - F.col("_hit.first_block")).alias("block"))
+    at = F.when((at < 0) | (at >= total), F.raise_error(F.lit("block out of range")).cast("long")).otherwise(at)
+    rows = rows.select(*indices.columns, at.alias("_at"), F.floor(at / F.col("_width")).alias("_bucket"))
+    last = F.col("first_block") + F.col("blocks") - 1
+    listed = index.join(F.broadcast(sums)).select("shard", "first_block", last.alias("_last"), F.explode(F.sequence(F.floor(F.col("first_block") / F.col("_width")), F.floor(last / F.col("_width")))).alias("_bucket"))
+    # a left join, so that numbers out of range are met even where no shard has their bucket
+    found = rows.join(listed, (rows["_bucket"] == listed["_bucket"]) & (F.col("first_block") <= F.col("_at")) & (F.col("_at") <= F.col("_last")), "left")
+    return found.select(*indices.columns, F.col("_at").alias("global_idx"), "shard", (F.col("_at") - F.col("first_block")).alias("block"))
 
 
 def blocks(shards: DataFrame, context: int, tokens: str = "tokens") -> DataFrame:

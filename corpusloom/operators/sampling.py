@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of the shuffled order; each is sorted by one task.
-BUCKETS = 4096
+from corpusloom.operators.prefix import prefix_sum
+
+#: Hexadecimal digits of the hash that number a bucket of the shuffled order (65,536); each is sorted by one task.
+DIGITS = 4
 
 
 def shuffle_key(seed: int, epoch: int, key: str) -> Column:
@@ -17,19 +19,18 @@ def rank_sampler(rows: DataFrame, key: str, world: int, seed: int = 0, epoch: in
     """(key, position, rank): rows in a seeded order (or that of the key), dealt out one after the other to `world` ranks.
     drop_last leaves out the rows that don't fill a round; otherwise the first rows fill it up again.
 
-    The order is two-level: rows fall into buckets by the leading digits of their hash (or by ranges of the key), so
-    that positions come from bucket totals and a sort within each bucket."""
+    The order of hashes is two-level: rows fall into buckets by the leading digits of their hash, so that positions come
+    from bucket totals and a sort within each bucket. Without a shuffle positions are prefix sums over the key."""
+    total = rows.agg(F.count("*").alias("n"))
     if shuffle:
         h = shuffle_key(seed, epoch, key)
-        rows = rows.select(key, h.alias("_h"), F.conv(F.substring(h, 1, 3), 16, 10).cast("long").alias("_b"))
+        rows = rows.select(key, h.alias("_h"), F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("long").alias("_b"))
+        before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+        bases = rows.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        within = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1
+        placed = rows.withColumn("_i", within).join(bases, "_b").select(key, (F.col("_base") + F.col("_i")).alias("position"))
     else:
-        rows = rows.select(key, F.lit("").alias("_h"), F.floor(F.col(key) / 65_536).cast("long").alias("_b"))
-    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    bases = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
-    within = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1
-    placed = rows.withColumn("_i", within).join(bases, "_b").select(key, (F.col("_base") + F.col("_i")).alias("position"))
+        placed = prefix_sum(rows.select(key, F.lit(1).alias("_one")), "_one", key, out="position").drop("_one")
     placed = placed.join(F.broadcast(total))  # one row
     if drop_last:
         out = placed.where(F.col("position") < F.col("n") - F.col("n") % world)

@@ -181,12 +181,12 @@ def ratio_estimate(spark, sf_dir):
     return out.withColumn("tokens_per_byte", F.round("tokens_per_byte", 9)).select("subset", "sample_docs", "sample_tokens", "sample_bytes", "total_bytes", "tokens_per_byte", "tokens")
 
 
-@query("""with x as (select distinct lang as category, source as subset from documents), e as (select source as subset, sum(strlen(text))::bigint as tokens from documents where source <> 'src3' group by source)
+@query("""with x as (select distinct lang as category, source as subset from documents), e as (select source as subset, sum(strlen(text))::bigint as tokens from documents group by source)
 select category, x.subset as subset, coalesce(sum(tokens), 0)::bigint as tokens, case when grouping(category) = 1 then 2 when grouping(x.subset) = 1 then 1 else 0 end::int as level from x left join e on x.subset = e.subset group by rollup(category, x.subset)""")
 def category_rollup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     dim = docs.select(F.col("lang").alias("category"), F.col("source").alias("subset")).distinct()
-    tokens = docs.where("source <> 'src3'").groupBy(F.col("source").alias("subset")).agg(F.sum(F.octet_length("text")).alias("tokens"))
+    tokens = docs.groupBy(F.col("source").alias("subset")).agg(F.sum(F.octet_length("text")).alias("tokens"))
     return estimate.category_rollup(dim, tokens)
 
 
@@ -360,14 +360,14 @@ def lr_schedule(spark, sf_dir):
     return spark.range(1001).select(F.col("id").alias("step"), F.round(training.learning_rate_scale(F.col("id"), 1000, 100, 0.1), 9).alias("scale"))
 
 
-@query("""with w as (select event_id, epoch_us(ts) / 1e6::double as seconds, event_id * 2048 as tokens from events where user_id = 1),
-t as (select event_id, (tokens - lag(tokens) over o) / greatest(seconds - lag(seconds) over o, 1e-9::double) as tps from w window o as (order by event_id))
-select event_id, round(tps, 3) as tokens_per_second, round(6 * 353373184::double * tps / 1e12::double, 9) as tflops, round(6 * 353373184::double * tps / 1e12::double / (989 * 2), 12) as mfu from t""")
+@query("""with w as (select user_id, event_id, epoch_us(ts) / 1e6::double as seconds, event_id * 2048 as tokens from events),
+t as (select user_id, event_id, (tokens - lag(tokens) over o) / greatest(seconds - lag(seconds) over o, 1e-9::double) as tps from w window o as (partition by user_id order by event_id))
+select user_id, event_id, round(tps, 3) as tokens_per_second, round(6 * 353373184::double * tps / 1e12::double, 9) as tflops, round(6 * 353373184::double * tps / 1e12::double / (989 * 2), 12) as mfu from t""")
 def mfu_curve(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("user_id = 1").select("event_id", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', cast(ts as timestamp_ntz))") / 1e6).alias("seconds"), (F.col("event_id") * 2048).alias("tokens"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', cast(ts as timestamp_ntz))") / 1e6).alias("seconds"), (F.col("event_id") * 2048).alias("tokens"))
     tps, parameters = F.col("tokens_per_second"), F.lit(353_373_184.0)
-    out = metrics.throughput(rows, "event_id", "tokens", "seconds")
-    return out.select("event_id", F.round(tps, 3).alias("tokens_per_second"), F.round(training.achieved_tflops(parameters, tps), 9).alias("tflops"), F.round(training.utilisation(parameters, tps, F.lit(989), F.lit(2)), 12).alias("mfu"))
+    out = metrics.throughput(rows, "event_id", "tokens", "seconds", ["user_id"])
+    return out.select("user_id", "event_id", F.round(tps, 3).alias("tokens_per_second"), F.round(training.achieved_tflops(parameters, tps), 9).alias("tflops"), F.round(training.utilisation(parameters, tps, F.lit(989), F.lit(2)), 12).alias("mfu"))
 
 
 @query("""with w as (select event_type, value as loss, event_id % 5 as n from events) select event_type, round(sum(loss * n) / greatest(sum(n), 1), 6) as loss, round(exp(least(sum(loss * n) / greatest(sum(n), 1), 20)), 2) as perplexity, round(avg(loss), 6) as plain from w group by event_type""")

@@ -7,14 +7,17 @@ from __future__ import annotations
 
 import json
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUFFIXES = (".jsonl.zst", ".jsonl.gz")
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+#: Files up to which their places are broadcast.
+MAX_BROADCAST_SHARDS = 1_000_000
 SCHEMA = "subset string, shard string, line_idx long, parse_status string, text string"
 
 
@@ -58,3 +61,16 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
         raise ValueError(f"only unsplittable shards ({', '.join(SUFFIXES)}) can be numbered as they are read: {odd[0]}")
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.expr("make_valid_utf8(value)").alias("raw"))
     return lines.mapInArrow(_numbered, SCHEMA)
+
+
+def reader(spark: SparkSession, root: str, suffix: str = SUFFIXES[0]) -> Callable[[list[str]], DataFrame]:
+    """A function that scans all shards of some subsets under root, each with its place in the order of names (shard_ord):
+    the documents of dataset.build. Folders are only listed."""
+
+    def read(subsets: list[str]) -> DataFrame:
+        rows = scan(spark, [f"{root}/{s}/*{suffix}" for s in subsets])
+        listed = reduce(DataFrame.unionByName, [list_shards(spark, root, s, suffix) for s in subsets])
+        places = listed.select("subset", "shard", (F.row_number().over(Window.partitionBy("subset").orderBy("shard")) - 1).alias("shard_ord"))  # a row a file
+        return rows.join(F.broadcast(places) if places.count() <= MAX_BROADCAST_SHARDS else places, ["subset", "shard"])
+
+    return read

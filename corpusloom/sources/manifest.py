@@ -15,9 +15,18 @@ MANIFEST, SETTINGS, DRY_SETTINGS = "manifest.json", "config_used.json", "dry_run
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and the path in it. A path without a scheme is one of a disk that driver and executors share;
+    qualify() gives it the scheme that Spark would read it by."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def qualify(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of Spark's default store where it has none; local paths stay as they are."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return path if full.startswith("file:") else full
+
+
 def write_json(path: str, payload: Any) -> None:
     """Sorted keys, two spaces, a newline at the end; written beside the target and renamed."""
     store, place = filesystem(path)

@@ -1,8 +1,8 @@
 """Binary token shards as a data source: headerless files of little-endian unsigned integers.
 
 Reading makes one partition for each range of tokens of a file, so that a large shard is read by many tasks. Writing
-takes rows (split, shard, shard_off, tokens) that are grouped and ordered by shard; each file is written aside, its size
-is checked, and the driver renames all of them when every task has ended."""
+takes Arrow batches of (split, shard, shard_off, tokens) that are grouped and ordered by shard; each file is written
+aside, its size is checked, and the driver renames all of them when every task has ended."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from corpusloom.sources.manifest import filesystem, read_manifest
+from corpusloom.operators.estimate import shuffled_shards
+from corpusloom.sources.manifest import filesystem, qualify, read_manifest
 
 SCHEMA = "split string, shard int, start long, tokens array<long>"
 RANGE = 1 << 20
@@ -61,12 +63,13 @@ class _Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array([part.split]), pa.array([part.shard], pa.int32()), pa.array([part.start], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens))], names=["split", "shard", "start", "tokens"])
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, options):
         self.root, self.dtype = options["path"], options.get("dtype", "uint16")
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, out, key, used = [], None, None, 0
+        width = np.dtype(self.dtype).newbyteorder("<")
 
         def close():
             if out is not None:
@@ -76,20 +79,26 @@ class _Writer(DataSourceWriter):
                     raise OSError(f"{files[-1][0]} is not complete")
                 files[-1] = (*files[-1][:4], used)
 
-        for r in rows:
-            if (r.split, r.shard) != key:
+        def pieces(batch):
+            tokens = batch.column(3)
+            flat, ends = tokens.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *tokens.value_lengths().to_pylist()])
+            keys = (batch.column(i).to_pylist() for i in range(3))
+            return ((split, shard, at, flat[a:b]) for split, shard, at, a, b in zip(*keys, ends, ends[1:]))
+
+        for split, shard, at, tokens in (p for batch in iterator for p in pieces(batch)):
+            if (split, shard) != key:
                 close()
-                key, used = (r.split, r.shard), 0
-                target = f"{self.root}/{r.split}/tokens_{r.shard:06d}.bin"
+                key, used = (split, shard), 0
+                target = f"{self.root}/{split}/tokens_{shard:06d}.bin"
                 aside = f"{target}.{uuid.uuid4().hex}.tmp"
                 store, place = filesystem(aside)
                 store.create_dir(place.rpartition("/")[0], recursive=True)
                 out = store.open_output_stream(place)
-                files.append((aside, target, r.split, r.shard, 0))
-            if r.shard_off != used:
-                raise ValueError(f"tokens of shard {key} are not in order: {r.shard_off} after {used}")
-            out.write(np.asarray(r.tokens, np.dtype(self.dtype).newbyteorder("<")).tobytes())
-            used += len(r.tokens)
+                files.append((aside, target, split, shard, 0))
+            if at != used:
+                raise ValueError(f"tokens of shard {key} are not in order: {at} after {used}")
+            out.write(tokens.astype(width).tobytes())
+            used += len(tokens)
         close()
         return Written(files)
 
@@ -127,12 +136,14 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, root: str, split: str | None = None, tokens_per_row: int = RANGE) -> DataFrame:
     register(spark)
+    root = qualify(spark, root)
     reader = spark.read.format("token_shards").option("range", tokens_per_row)
     return (reader.option("split", split) if split else reader).load(root)
 
 
-def read_blocks(spark: SparkSession, root: str, split: str, context: int) -> DataFrame:
-    """Training blocks of a split: shard, block, input_ids and labels. Rows of the scan hold whole blocks and are joined with
+def read_blocks(spark: SparkSession, root: str, split: str, context: int, seed: int | None = None) -> DataFrame:
+    """Training blocks of a split: shard, block, input_ids and labels; with a seed also turn, the shard's place in the
+    seeded order in which shards are read. Rows of the scan hold whole blocks and are joined with
     the one token after them, so a shard is never held whole."""
     from pyspark.sql import functions as F
 
@@ -143,7 +154,29 @@ def read_blocks(spark: SparkSession, root: str, split: str, context: int) -> Dat
     t = F.concat("tokens", F.coalesce("after", F.array().cast("array<long>")))
     whole = whole.select("split", "shard", "start", t.alias("t")).where(F.size("t") > context)
     blocks = whole.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / context).cast("int") - 1)))
-    return blocks.select("split", "shard", (F.col("start") / context + F.col("i")).cast("long").alias("block"), F.slice("t", F.col("i") * context + 1, F.lit(context)).alias("input_ids"), F.slice("t", F.col("i") * context + 2, F.lit(context)).alias("labels"))
+    out = blocks.select("split", "shard", (F.col("start") / context + F.col("i")).cast("long").alias("block"), F.slice("t", F.col("i") * context + 1, F.lit(context)).alias("input_ids"), F.slice("t", F.col("i") * context + 2, F.lit(context)).alias("labels"))
+    if seed is None:
+        return out
+    names = [s["filename"] for s in read_manifest(root)["splits"][split]["shards"]]
+    turns = {name: i for i, name in enumerate(shuffled_shards(names, seed, split))}
+    order = spark.createDataFrame([(i, turns[name]) for i, name in enumerate(names)], "shard int, turn int")
+    return out.join(F.broadcast(order), "shard")  # the manifest's rows, one a shard
+
+
+def complete(root: str, shards: list[dict]) -> set[tuple[str, int]]:
+    """Of the shards (split, shard, tokens, dtype) those whose files are there and whole; all other files of the splits'
+    folders are deleted: left-overs of a run that was cut off. One listing a split."""
+    want = {f"{s['split']}/tokens_{s['shard']:06d}.bin": s for s in shards}
+    found = set()
+    for split in ("train", "val"):
+        store, place = filesystem(f"{root}/{split}")
+        for f in store.get_file_info(fs.FileSelector(place, allow_not_found=True)):
+            s = want.get(f"{split}/{f.base_name}")
+            if s and f.size == s["tokens"] * WIDTH[s["dtype"]]:
+                found.add((split, s["shard"]))
+            elif f.type == fs.FileType.File:
+                store.delete_file(f.path)
+    return found
 
 
 def write(pieces: DataFrame, root: str, dtype: str) -> None:

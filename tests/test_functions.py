@@ -171,3 +171,33 @@ def test_report_and_quota(spark):
     few = {r.position: r["rank"] for r in sampling.rank_sampler(spark.range(3), "id", 8, drop_last=False).collect()}
     assert few == {i: i for i in range(8)} and sampling.rank_sampler(spark.range(3), "id", 8).count() == 0
     assert re.fullmatch(r"train/tokens_000007\.bin", spark.range(1).select(text.shard_name(F.lit("train"), F.lit(7)).alias("n")).first().n)
+
+
+def test_folds_over_sparse_orders(spark):
+    """64-bit random keys: the same result as one window, and no window over all rows."""
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.randrange(-(2**63), 2**63), rng.randrange(100)) for _ in range(600)] + [("c", 2**63 - 1, 4), ("c", -(2**63), 3)]
+    df = spark.createDataFrame(rows, "g string, k long, v long").repartition(3)
+    for fold, name in ((sum, "sum"), (min, "min"), (max, "max")):
+        got = {(r.g, r.k): r.p for r in prefix.prefix_fold(df, F.col("v"), name, "k", ["g"], chunk=65_536, out="p").collect()}
+        want = {}
+        for g, k, _ in rows:
+            before = [v for h, j, v in rows if h == g and j < k]
+            want[(g, k)] = fold(before) if before else None
+        assert got == want, name
+    spread = prefix.prefix_sum(df.withColumn("one", F.lit(1)), "one", "k", out="n").collect()
+    assert sorted(r.n for r in spread) == list(range(len(rows)))
+
+
+def test_lookup_of_uneven_shards(spark):
+    rng = random.Random(6)
+    sizes = [rng.choice((1, 2, 50, 1000)) for _ in range(60)]
+    starts = [sum(sizes[:i]) for i in range(60)]
+    index = spark.createDataFrame([(i, starts[i], n) for i, n in enumerate(sizes)], "shard int, first_block long, blocks long")
+    total = sum(sizes)
+    asked = [rng.randrange(-total, total) for _ in range(300)]
+    got = {r.idx: (r.shard, r.block) for r in packing.lookup(spark.createDataFrame([(a,) for a in set(asked)], "idx long"), index).collect()}
+    for a in asked:
+        at = a % total
+        shard = max(i for i in range(60) if starts[i] <= at)
+        assert got[a] == (shard, at - starts[shard])

@@ -119,11 +119,12 @@ def test_modes_and_resume(spark, tmp_path):
     (root / "train" / "orphan.tmp").write_bytes(b"x")
     assert dataset.build(spark, docs, [("a", 100)], recipe(resume=True)) == first
     assert {p.name: p.read_bytes() for p in root.glob("*/*")} == bytes_
+    assert json.loads((root / "progress.json").read_text())["shards"] == 1
     with pytest.raises(FileNotFoundError):
         dataset.build(spark, docs, [("a", 100), ("gone", 5)], recipe(overwrite=True))
     made = dataset.build(spark, docs, [("a", 100), ("gone", 5)], recipe(overwrite=True, skip_missing_subsets=True))
     assert made["subsets"]["gone"]["completed"] and made["subsets"]["gone"]["docs_seen"] == 0
-    for bad in ({"resume": True, "overwrite": True}, {"val_fraction": 2}, {"context_length": 0}, {"profile": "x"}):
+    for bad in ({"resume": True, "overwrite": True}, {"seed": -1}, {"dtype": "int8"}, {"shards_per_step": 0}, {"val_fraction": 2}, {"context_length": 0}, {"profile": "x"}):
         with pytest.raises(ValueError):
             recipe(**bad)
     manifest.write_json(str(tmp_path / "m.json"), {"subsets": {"z": 3, "y": 4}})
@@ -142,3 +143,92 @@ def test_streaming_budget_over_two_runs(spark, tmp_path):
     ingest.start(rows(), f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
     got = sorted((r.shard, r.line_idx, r.status, r.n_framed, r.prior) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("s0.jsonl.zst", 0, "written", 42, 0), ("s0.jsonl.zst", 1, "malformed", 0, 42), ("s0.jsonl.zst", 2, "short", 0, 42), ("s0.jsonl.zst", 3, "written", 52, 42), ("s1.jsonl.zst", 0, "written", 62, 94), ("s1.jsonl.zst", 1, "written", 100, 156)]
+
+
+def test_a_run_that_was_cut_off_ends_with_the_same_bytes(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    for s in ("a", "b", "c"):
+        for k in range(3):
+            put(tmp_path / "in" / s / f"s{k}.jsonl.zst", [json.dumps({"text": "".join(rng.choice("abc ") for _ in range(rng.randrange(90)))}).encode() for _ in range(20)])
+    mixture = [("b", 1200), ("a", 900), ("c", 10_000)]
+    recipe = lambda root, **k: dataset.Recipe(str(tmp_path / root), train_shard_tokens=400, val_shard_tokens=200, val_fraction=0.3, min_doc_tokens=4, context_length=16, subsets_per_step=1, shards_per_step=2, **k)
+    docs = jsonl.reader(spark, str(tmp_path / "in"))
+    whole = dataset.build(spark, docs, mixture, recipe("whole"))
+    assert {s: v["shards_seen"] for s, v in whole["subsets"].items()} == {"a": 3, "b": 3, "c": 3}
+    read = []
+
+    def failing(names):
+        read.append(names)
+        if len(read) == 2:
+            raise OSError("lost")
+        return docs(names)
+
+    with pytest.raises(OSError):
+        dataset.build(spark, failing, mixture, recipe("cut"))
+    write, wrote = token_shards.write, []
+
+    def failing_write(*a):
+        if len(wrote) == 2:
+            raise OSError("lost")
+        wrote.append(write(*a))
+
+    monkeypatch.setattr(token_shards, "write", failing_write)
+    with pytest.raises(OSError):
+        dataset.build(spark, failing, mixture, recipe("cut", resume=True))
+    assert read == [["b"], ["a"], ["a"], ["c"], ["b", "a", "c"]]  # the first subset is not counted again
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "cut").glob("*/*.bin")}
+    assert len(kept) == 4 and json.loads((tmp_path / "cut" / "progress.json").read_text())["shards"] == 4
+    (tmp_path / "cut" / "train" / "tokens_000999.bin").write_bytes(b"orphan")
+    over = max(kept)
+    over.write_bytes(over.read_bytes() + b"xx")  # longer than its shard
+    monkeypatch.setattr(token_shards, "write", write)
+    assert dataset.build(spark, failing, mixture, recipe("cut", resume=True)) == whole
+    files = {r: {p.relative_to(tmp_path / r): p.read_bytes() for p in (tmp_path / r).glob("*/*")} for r in ("cut", "whole")}
+    assert files["cut"] == files["whole"]
+    assert all(p.stat().st_mtime_ns == t for p, t in kept.items() if p != over)
+    order = {r.shard: r.turn for r in token_shards.read_blocks(spark, str(tmp_path / "cut"), "train", 16, seed=5).collect()}
+    assert sorted(order.values()) == list(range(len(order))) and list(order) != list(order.values())
+
+
+@pytest.mark.parametrize("kind", ["tiktoken", "json", ""])
+def test_build_with_a_vocabulary(spark, tmp_path, kind):
+    import public_tokenizers
+
+    folder = tmp_path / "vocab"
+    source = public_tokenizers.path("byte_bpe_50k.json")
+    ranks, added = tokenizers.ranks_from_json(source)
+    tokenizers.export_bundle(str(folder), "own", public_tokenizers.PATTERN, ranks, added, check=tokenizers.load(f"json:{source}"))
+    name = {"tiktoken": f"tiktoken:{folder}", "json": f"json:{source}", "": str(folder)}[kind]
+    texts = [f"Document {i}: of the 漢字 and <|endoftext|> more" * (i % 5 + 1) for i in range(30)] + ["x" + " " * 3000]
+    docs = spark.createDataFrame([("a", "0", 0, i, "parsed", t.strip()) for i, t in enumerate(texts)], "subset string, shard string, shard_ord int, line_idx long, parse_status string, text string")
+    recipe = lambda **k: dataset.Recipe(str(tmp_path / "out"), tokenizer=name, train_shard_tokens=150, val_fraction=0.0, min_doc_tokens=2, max_doc_tokens=40, **k)
+    with pytest.raises(ValueError):
+        dataset.build(spark, docs, [("a", 10**6)], recipe())
+    with pytest.raises(ValueError):
+        dataset.build(spark, docs, [("a", 10**6)], recipe(bos="<|endoftext|>", eos="no such token"))
+    made = dataset.build(spark, docs, [("a", 10**6)], recipe(bos="<|endoftext|>", eos="<|endoftext|>"))
+    library = tokenizers.load(f"json:{source}", "<|endoftext|>", "<|endoftext|>")
+    want = [i for t in texts if len(library.encode(t.strip())) >= 2 for i in library.encode(t.strip(), True, True)]
+    data = np.concatenate([np.fromfile(tmp_path / "out" / s["filename"], "<u2") for s in made["splits"]["train"]["shards"]])
+    assert data.tolist() == want and made["bos_token"] == "<|endoftext|>" and made["bos_token_id"] == 50256
+
+
+def test_tokenizer_names(tmp_path):
+    import public_tokenizers
+
+    for bad in ("nothing", str(tmp_path), "tiktoken:", "whitespace:x"):
+        with pytest.raises(ValueError):
+            tokenizers.describe(bad)
+    source = public_tokenizers.path("byte_bpe_50k.json")
+    ranks, added = tokenizers.ranks_from_json(source)
+    broken = {k: v for k, v in ranks.items() if k != b" the"}
+    with pytest.raises(ValueError):
+        tokenizers.export_bundle(str(tmp_path / "b"), "own", public_tokenizers.PATTERN, broken, added, tokenizers.load(f"json:{source}"), ("of the",))
+    tokenizers.export_bundle(str(tmp_path / "ok"), "own", public_tokenizers.PATTERN, ranks, added)
+    t, j = tokenizers.load(str(tmp_path / "ok")), tokenizers.load(f"json:{source}")
+    texts = ["of the", "a<|endoftext|>b", " " * 1_500_000 + "end"]
+    assert [t.encode(x) for x in texts] == [j.encode(x) for x in texts] == j.encode_batch(texts)
+    assert t.encode_batch(texts[:2]) == j.encode_batch(texts[:2]) and t.decode_batch(t.encode_batch(texts[:2])) == texts[:2]
+    assert 50256 not in t.encode_ordinary(texts[1]) and t.token_bytes(t.encode("é")[0]) in ("é".encode(), "é".encode()[:1])
+    with pytest.raises(ValueError):
+        t.encode("x", add_bos=True)
