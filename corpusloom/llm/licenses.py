@@ -7,7 +7,7 @@ the template it is compared with (the whole text, where that is shorter), wherev
 wrapped; its cosine must be FROM or more. The windows that can reach that are found without comparing all:
 
 * a template's anchors are words that hold so much of its weight that a window without any of them stays below FROM
-  (by Cauchy and Schwarz), long words first. Texts without an anchor of any template are passed over;
+  (by Cauchy and Schwarz), common words last. Texts without an anchor of any template are passed over;
 * the words are cut into blocks of the longest template's length; a block that holds an anchor, with as many words on
   either side, is a region that holds all windows around it. It is compared with the templates of its anchors;
 * a window whose words in common with the template hold less than FROM of its weight is passed over.
@@ -65,6 +65,8 @@ FROM = 0.8
 MAX_TEMPLATES = 1000
 #: Words of the longest template that headers are compared with.
 MAX_WINDOW = 64
+#: Words that most texts of some language hold.
+COMMON = frozenset("a all an and any are as at be by for from has in is it may mit no not of on or that the this to under was which with you".split())
 WORD = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
 
 
@@ -90,9 +92,10 @@ def weights(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float,
 
 
 def anchors(vector: dict[str, float], threshold: float) -> list[str]:
-    """Words of a unit vector without which no text reaches the threshold; short ones, which are common, come last."""
+    """Words of a unit vector without which no text reaches the threshold. Any order of the words gives the same result;
+    common ones last spares most texts."""
     rest, out = sum(x * x for x in vector.values()), []
-    for w, x in sorted(vector.items(), key=lambda e: (len(e[0]) < 4, -e[1], e[0])):
+    for w, x in sorted(vector.items(), key=lambda e: (e[0] in COMMON or len(e[0]) == 1, -e[1], e[0])):
         if rest < threshold * threshold - 1e-9:
             break
         out.append(w)
