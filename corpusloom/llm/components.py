@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import delete, materialise
+from corpusloom.llm.common import delete, join_unique, materialise
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) of every node of edges(u, v); label is the smallest node of its component.
 
     Each round is two aggregations with partial results before the shuffle and two joins; a node with very many
-    neighbours is never gathered in one row. Rounds grow with the logarithm of the longest path. Null ends and loops
+    neighbours is joined by broadcast, so that no task reads them all. Rounds grow with the logarithm of the longest path. Null ends and loops
     are ignored; repeated edges count once; an empty table gives an empty result.
     """
     low, high = F.least("u", "v"), F.greatest("u", "v")
@@ -28,10 +28,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        large = join_unique(both, least, ["u"]).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         large = materialise(large, "large-star")
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        near = large.join(least, "v")
+        near = join_unique(large, least, ["v"])
         small = near.select(F.col("m").alias("u"), "v").unionByName(near.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct()
         small = materialise(small, "small-star")
         after = _print(small)

@@ -6,15 +6,21 @@ similarity t or more share a shingle within their prefixes of n - ceil(t n) + 1.
 size are one group; group pairs that share a prefix shingle are filtered by size and position; what is left is
 expanded to members, whose sets are compared exactly.
 
-Results are components, so that a link between members that are connected anyhow need not be proven. Round one pairs
-every group of a shingle's bucket with the bucket's leader, the group with the fewest rarer shingles, and every member
-with the first of its group: as many pairs as rows. Round two pairs what a bucket or a group still holds in
-different components. No link that could join two components is skipped, whatever the size of a bucket.
+Results are components, so that a link between members that are connected anyhow need not be proven. Star rounds pair
+every group with the leader of most of its buckets (a bucket's leader is the group with the fewest rarer shingles) that
+is in another component, and once every member with the first of its group: fewer pairs than groups. Rounds end
+when one links nothing new, or after STAR_ROUNDS. The last round pairs what a bucket or a group still holds in different
+components, filtered by how many prefix shingles the two groups share (the position filter of the last one in common).
+No link that could join two components is skipped, whatever the size of a bucket.
 
 The order: shingles that repeat within some block of documents are counted over all documents; those of HEAVY_DF
 documents or more (the most frequent MAX_HEAVY of them, 16 MB, or fewer where many have one count) come last, by frequency. Any order gives the same
 result; a better one gives fewer pairs.
 
+Shuffles: prefix rows once by shingle, and the texts to compare. Buckets of hot shingles, which the counts tell, get their leader
+by a sum and a broadcast instead of a window; a text that is compared with many is salted; hot classes and components
+are joined by broadcast (common.join_unique).
+
 Two 64-bit hashes may collide: the chance for one pair of sets of a thousand shingles each is below 1e-13.
 
 Edge cases: null, empty and blank texts have empty sets (n_shingles 0) and link with nothing; texts of fewer words
@@ -31,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import delete, materialise, prepare, table
+from corpusloom.llm.common import HOT, delete, join_unique, materialise, prepare, table
 from corpusloom.llm.components import components
 
 #: Documents from which a shingle counts as frequent, and how many frequent shingles the order holds.
@@ -44,8 +50,9 @@ MAX_HEAVY = 1 << 20
 BLOCK_SHINGLES = 4_000_000
 #: Ids up to which the documents to compare are picked by broadcast; beyond, by a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
-#: Shingles of several groups up to which prefix rows are picked by broadcast; beyond, by a shuffled join.
-MAX_BROADCAST_KEYS = 100_000
+#: Star rounds at most, and pairs of one text that are compared in one task.
+STAR_ROUNDS = 4
+SALT_PAIRS = 256
 
 
 class Shingler:
@@ -90,8 +97,9 @@ def _class_id(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64))
 
 
-def frequent(docs: DataFrame, words: int, heavy_df: int = HEAVY_DF, most: int = MAX_HEAVY) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, words: int, heavy_df: int | None = None, most: int = MAX_HEAVY) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and their counts: a bounded table for the driver and the broadcast."""
+    heavy_df = HEAVY_DF if heavy_df is None else heavy_df
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,10 +158,10 @@ def prefix(h: np.ndarray, heavy: np.ndarray, counts: np.ndarray, percent: int) -
     return h[:p]
 
 
-def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), cid (class), gid (group) and the group's prefix, the last once a task and group."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent(docs, words))  # MAX_HEAVY rows at most
+def signatures(docs: DataFrame, words: int, percent: int, counted: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, n (set size), cid (class), gid (group) and the group's prefix, the last once a task and group. counted: the
+    frequent shingles."""
+    shared = docs.sparkSession.sparkContext.broadcast(counted)  # MAX_HEAVY rows at most
     names = ["doc_id", "n", "cid", "gid"]
     schema = pa.schema([*((c, pa.int64()) for c in names), ("keys", pa.list_(pa.int64()))])
 
@@ -191,9 +199,38 @@ def _may_link(a: str, b: str, percent: int, position: bool = True) -> Column:
     return size & ((100 + percent) * F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) >= percent * (na + nb))
 
 
+def buckets(sig: DataFrame, counted: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows (k, gid, n, pos) of shingles that more than one group has, and the hot shingles (k)."""
+    spark = sig.sparkSession
+    total = sig.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    # shingles of so many documents; a prefix holds about a share of (100 - percent) % of a set, so they are a few times HOT
+    hot = spark.createDataFrame([(int(k),) for k in _signed(counted[0][counted[1] * HOT > max(total, HOT * HOT // 4)])], "k long")
+    rows = sig.where("keys is not null").select("gid", "n", F.posexplode("keys").alias("pos", "k"))
+    # tasks may repeat a group; rows of one shingle meet once, for this and for the count of its groups
+    cold = rows.join(F.broadcast(hot), "k", "left_anti").repartition("k").groupBy("k", "gid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    w = Window.partitionBy("k")
+    cold = cold.withColumn("lo", F.min("gid").over(w)).withColumn("hi", F.max("gid").over(w)).where("lo <> hi").drop("lo", "hi")
+    warm = rows.join(F.broadcast(hot), "k").groupBy("k", "gid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    return materialise(cold.unionByName(warm), "buckets"), hot
+
+
+def star(shared: DataFrame, hot: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(gid, lead_gid): every group with one leader of its buckets that is in another component and may link; of several
+    the one of most buckets. label: gid, label of every group."""
+    rows = shared.join(label, "gid")
+    lead, w = F.struct("pos", "n", "gid", "label"), Window.partitionBy("k")
+    cold = rows.join(F.broadcast(hot), "k", "left_anti").withColumn("lead", F.min(lead).over(w))
+    warm = rows.join(F.broadcast(hot), "k")
+    leads = warm.groupBy("k").agg(F.min(lead).alias("lead"))
+    both = cold.unionByName(warm.join(F.broadcast(leads), "k"))
+    both = both.select("gid", "n", "pos", "label", F.col("lead.gid").alias("lead_gid"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"), F.col("lead.label").alias("lead_label"))
+    pairs = both.where((F.col("label") != F.col("lead_label")) & _may_link("", "lead_", percent)).groupBy("gid", "lead_gid").agg(F.count("*").alias("n"))
+    best = pairs.groupBy("gid").agg(F.max(F.struct("n", "lead_gid")).alias("best"))
+    return best.select("gid", F.col("best.lead_gid").alias("lead_gid"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose sets are similar enough. names: cid and the doc_id of one row of each class."""
-    spark = docs.sparkSession
     need = materialise(pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct().join(names, "cid"), "need")
     ids = need.select(F.col("doc_id").alias("need_id")).distinct()
     side = F.broadcast(ids) if need.count() <= MAX_BROADCAST_IDS else ids
@@ -230,11 +267,14 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, words: int, pe
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
 
-    first = texts.select(F.col("cid").alias("v"), F.col("text").alias("b"))
-    second = texts.select(F.col("cid").alias("u"), F.col("text").alias("a"))
-    out = materialise(pairs.join(first, "v").join(second, "u").select("u", "v", "a", "b").mapInArrow(compared, "u long, v long"), "links")
-    delete(need)
-    delete(texts)
+    # u is the one of more pairs, by name; where it has many, its text is repeated for each SALT_PAIRS of them
+    salts = materialise(pairs.groupBy("u").agg(F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts")), "salts")
+    salted = join_unique(pairs, salts, ["u"]).select("u", "v", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"))
+    first = texts.join(salts, texts["cid"] == salts["u"]).select("u", F.col("text").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    second = texts.select(F.col("cid").alias("v"), F.col("text").alias("b"))
+    out = materialise(salted.join(second, "v").join(first, ["u", "salt"]).select("u", "v", "a", "b").mapInArrow(compared, "u long, v long"), "links")
+    for done in (need, texts, salts):
+        delete(done)
     return out
 
 
@@ -243,56 +283,65 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if words < 1 or not 1 <= percent <= 100:
         raise ValueError("words must be positive and percent within 1 and 100")
     prepare(docs.sparkSession)
-    sig = materialise(signatures(docs, words, percent), "signatures")
+    counted = frequent(docs, words)
+    sig = materialise(signatures(docs, words, percent, counted), "signatures")
     classes = materialise(sig.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("gid").alias("gid")), "classes")
-    groups = classes.groupBy("gid").agg(F.min("cid").alias("rep"), F.count("*").alias("members"))
+    groups = materialise(classes.groupBy("gid").agg(F.min("cid").alias("rep"), F.count("*").alias("members")), "groups")
+    names, rep = classes.select("cid", "doc_id"), groups.select("gid", "rep")
+    shared, hot = buckets(sig, counted)
+
+    def least(links: DataFrame) -> DataFrame:
+        return components(links).select(F.col("node").alias("cid"), "label")
+
+    # star rounds, the first with each member and the first of its group
+    pairs = join_unique(classes, groups.where("members > 1").select("gid", "rep"), ["gid"]).where("cid <> rep").select(F.col("rep").alias("u"), F.col("cid").alias("v"))
+    label = rep.select("gid", F.col("rep").alias("label"))
+    tried = links = known = None
+    for _ in range(STAR_ROUNDS):
+        found = star(shared, hot, label, percent).join(rep.withColumnRenamed("rep", "v"), "gid").join(rep.select(F.col("gid").alias("lead_gid"), F.col("rep").alias("u")), "lead_gid").select("u", "v")
+        pairs = found if tried is not None else pairs.unionByName(found)
+        if tried is not None:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = materialise(pairs.distinct(), "pairs")
+        new = verified(pairs, docs, names, words, percent)
+        more = not new.isEmpty()
+        tried, links = (pairs, new) if tried is None else (tried.unionByName(pairs), links.unionByName(new))
+        if known is not None and not more:
+            break
+        if known is not None:
+            delete(known)
+        known = materialise(least(links), "known")
+        label = materialise(rep.join(known, rep["rep"] == known["cid"], "left").select("gid", F.coalesce("label", "rep").alias("label")), "labels")
+        if not more:
+            break
 
-    # prefix rows of shingles that more than one group has; most shingles have one, so only keys are shuffled to find out
-    rows = sig.where("keys is not null").select("gid", "n", F.posexplode("keys").alias("pos", "k"))
-    several = materialise(rows.groupBy("k").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo <> hi").select("k"), "several")
-    side = F.broadcast(several) if several.count() <= MAX_BROADCAST_KEYS else several
-    picked = materialise(rows.join(side, "k", "left_semi").groupBy("k", "gid").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "picked")
-    delete(several)
-    leads = picked.groupBy("k").agg(F.min(F.struct("pos", "n", "gid")).alias("lead"))
-    shared = picked.join(leads, "k").select("k", "gid", "n", "pos", F.col("lead.gid").alias("lead_gid"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
-    shared = materialise(shared, "shared")
-    delete(picked)
-
-    # round one: each group with the leader of its bucket, each member with the first of its group
-    star = shared.where((F.col("gid") != F.col("lead_gid")) & _may_link("", "lead_", percent)).select("gid", "lead_gid").distinct()
-    rep = groups.select("gid", "rep")
-    star = star.join(rep, "gid").select(F.col("rep").alias("v"), "lead_gid").join(rep.withColumnRenamed("gid", "lead_gid"), "lead_gid").select(F.col("rep").alias("u"), "v")
-    inner = classes.join(groups.where("members > 1"), "gid").where("cid <> rep").select(F.col("rep").alias("u"), F.col("cid").alias("v"))
-    tried = materialise(star.unionByName(inner).distinct(), "tried")
-    links = verified(tried, docs, classes.select("cid", "doc_id"), words, percent)
-
-    # round two: what buckets and groups still hold in different components
-    label = components(links).select(F.col("node").alias("cid"), F.col("label"))
-    units = materialise(classes.join(label, "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label")), "units")
-    split = units.select("gid", "label").distinct()
-    marked = shared.select("k", "gid", "n", "pos").join(split, "gid")
+    # what buckets and groups still hold in different components
+    units = materialise(join_unique(classes, known, ["cid"], "left").select("gid", "cid", F.coalesce("label", "cid").alias("label")), "units")
+    split = materialise(units.select("gid", "label").distinct(), "split")
+    marked = shared.join(split, "gid")
     mixed = marked.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k")
     marked = materialise(marked.join(mixed, "k"), "marked")
     one, two = (marked.select("k", *(F.col(c).alias(f"{s}_{c}") for c in ("gid", "n", "pos", "label"))) for s in "ab")
-    # of two that may link, one has few rarer shingles
-    one = one.where((100 + percent) * F.col("a_pos") <= (100 - percent) * F.col("a_n"))
-    across = one.join(two, "k").where((F.col("a_gid") != F.col("b_gid")) & (F.col("a_label") != F.col("b_label")) & _may_link("a_", "b_", percent))
-    across = across.select("a_gid", "a_label", "b_gid", "b_label")
+    across = one.join(two, "k").where((F.col("a_gid") < F.col("b_gid")) & (F.col("a_label") != F.col("b_label")) & _may_link("a_", "b_", percent, False))
+    across = across.groupBy("a_gid", "a_label", "b_gid", "b_label").agg(F.count("*").alias("c"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"), F.min("a_n").alias("a_n"), F.min("b_n").alias("b_n"))
+    # prefixes share c shingles; whatever else is in common comes after the last of these in both sets
+    most = F.col("c") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1
+    across = across.where((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))).select("a_gid", "a_label", "b_gid", "b_label")
     within = split.alias("x").join(split.alias("y"), (F.col("x.gid") == F.col("y.gid")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.gid").alias("a_gid"), F.col("x.label").alias("a_label"), F.col("y.gid").alias("b_gid"), F.col("y.label").alias("b_label"))
     across = across.unionByName(within).distinct()
     a, b = (units.select(F.col("gid").alias(f"{s}_gid"), F.col("label").alias(f"{s}_label"), F.col("cid").alias(f"{s}_cid")) for s in "ab")
     rest = across.join(a, ["a_gid", "a_label"]).join(b, ["b_gid", "b_label"]).select(F.least("a_cid", "b_cid").alias("u"), F.greatest("a_cid", "b_cid").alias("v")).distinct()
     done = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = materialise(rest.join(done, ["u", "v"], "left_anti"), "rest")
-    more = verified(rest, docs, classes.select("cid", "doc_id"), words, percent)
-    label = components(links.unionByName(more)).select(F.col("node").alias("cid"), "label")
+    final = materialise(least(links.unionByName(verified(rest, docs, names, words, percent))), "final")
 
-    named = classes.select("cid", "doc_id").join(label, "cid", "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = materialise(named.join(smallest, "label").select("cid", "component_id"), "named")
-    for done_with in (shared, tried, units, marked, rest, links, more):
+    named = materialise(join_unique(names, final, ["cid"], "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label")), "named")
+    smallest = materialise(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")
+    homes = materialise(join_unique(named, smallest, ["label"]).select("cid", "component_id"), "homes")
+    for done_with in (shared, units, split, marked, rest, final, named, smallest, known, label, groups, classes, tried, links):
         delete(done_with)
-    return sig.select("doc_id", "n", "cid").join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = join_unique(sig.select("doc_id", "n", "cid"), homes, ["cid"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -97,3 +97,32 @@ def test_deduplicated_deletes_rows_not_ids(spark):
         kept = N.deduplicated(docs)
         # the text b is nowhere else, though its row's doc_id is that of a copy; one of the repeated rows stays
         assert kept.columns == docs.columns and sorted(r.row_0 for r in kept.collect()) == ["a3", "b5", "c7", "none", "null", "null"]
+
+
+def test_large_bucket_and_large_component(spark):
+    """5,000 texts that share a passage and are not alike, 5,000 of one component, and one very long text."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(12)]
+    rows = [(i, " ".join([f"u{i}_{j}" for j in range(14)] + passage)) for i in range(5000)]
+    base = [f"b{i}" for i in range(80)]
+    for i in range(5000, 10_000):
+        w = list(base)
+        w[rng.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(10_000, " ".join(f"long{i}" for i in range(300_000))), (10_001, " ".join(f"long{i}" for i in range(299_990)))]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 5, 80).collect()}
+    assert all(got[i] == i for i in range(5000)) and all(got[i] == 5000 for i in range(5000, 10_000)) and got[10_001] == 10_000
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Every shared key is hot, and every text that is compared often is salted."""
+    from corpusloom.llm import common
+
+    monkeypatch.setattr(common, "HOT", 30)
+    monkeypatch.setattr(N, "HOT", 30)
+    monkeypatch.setattr(N, "HEAVY_DF", 2)
+    monkeypatch.setattr(N, "SALT_PAIRS", 2)
+    rows = corpus(11, 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((-1 if r.doc_id is None else r.doc_id or -1, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in N.near_duplicates(docs, 4, 70).collect())
+    assert got == [(-1 if k == 0 else k, *x) for k, *x in brute(rows, 4, 70)]
