@@ -1,17 +1,18 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are normalised alike: lower case, every run of characters that are no letters or digits as one
-space. An item of m characters may be found with k = floor(rate * m) edits. It is split into k + 1 pieces; by the
+space, and one at either end, so that an item stands on whole words or pays for it. An item of m characters, however few,
+may be found with k = floor(rate * m) edits. It is split, with its spaces, into k + 1 pieces; by the
 pigeonhole principle any occurrence within k edits holds one piece unchanged, at most k places from where it should
 stand. One automaton finds exact hits of all pieces in a text; the window around each hit is verified by Myers'
 bit-parallel edit distance, so that the result is exact: an item is reported if and only if some substring of the
-normalised text is within k edits of it.
+normalised text, with its spaces, is within k edits of it.
 
 Items are read in blocks of at most BLOCK_CHARS characters; each block is broadcast and makes one pass over the
 documents, with no shuffle. Memory of a task: one Arrow batch and the automaton of one block.
 
-Edge cases: null or empty texts and items that normalise to nothing match nothing; items shorter than MIN_CHARS are
-found only unchanged and as whole words; repeated items are reported under each of their ids, repeated documents row
+Edge cases: null or empty texts and items that normalise to nothing match nothing; items too short
+for an edit are found unchanged, as whole words; repeated items are reported under each of their ids, repeated documents row
 by row; of several occurrences the one of fewest edits counts, then the first; extra columns are ignored.
 """
 
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import map_rows, prepare, table
 
 RATE = 0.08
-MIN_CHARS = 32
 BLOCK_CHARS = 2_000_000
 
 _GAP = re.compile(r"[\W_]+")
@@ -95,20 +95,19 @@ def myers(peq: dict[str, int], m: int, text: str, k: int) -> tuple[int, int] | N
 class Matcher:
     """All items of one block. items: (item_id, text)."""
 
-    def __init__(self, items: Iterable[tuple[int, str | None]], rate: float = RATE, min_chars: int = MIN_CHARS):
+    def __init__(self, items: Iterable[tuple[int, str | None]], rate: float = RATE):
         import ahocorasick
 
         by_text: dict[str, list[int]] = defaultdict(list)
         for key, text in items:
             if norm := normalise(text):
                 by_text[norm].append(key)
-        self.items = [(t, ids, int(rate * len(t)) if len(t) >= min_chars else 0) for t, ids in by_text.items()]
+        self.items = [(f" {t} ", ids, int(rate * len(t))) for t, ids in by_text.items()]
         self.peq = [masks(t) for t, _, _ in self.items]
         self.peq_back = [masks(t[::-1]) for t, _, _ in self.items]
-        self.short = min_chars
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (t, _, k) in enumerate(self.items):
-            for at, piece in pieces(t, k) if len(t) >= min_chars else [(0, t)]:
+            for at, piece in pieces(t, k):
                 places[piece].append((n, at))
         self.automaton = ahocorasick.Automaton() if places else None
         for piece, where in places.items():
@@ -118,30 +117,32 @@ class Matcher:
 
     def find(self, norm: str) -> Iterator[tuple[int, int, int, int]]:
         """(item, edits, start, end) of each item found in a normalised text."""
+        padded = f" {norm} "
         best: dict[int, tuple[int, int]] = {}
         done: dict[int, int] = {}
-        for last, (size, where) in self.automaton.iter(norm) if self.automaton else ():
+        for last, (size, where) in self.automaton.iter(padded) if self.automaton else ():
             first = last + 1 - size
             for n, at in where:
                 t, _, k = self.items[n]
                 if best.get(n, (k + 1,))[0] == 0:
                     continue
-                if len(t) < self.short:
-                    if (first == 0 or norm[first - 1] == " ") and (last + 1 == len(norm) or norm[last + 1] == " "):
-                        best[n] = (0, last + 1)
+                if k == 0:  # the one piece is the item
+                    best[n] = (0, last + 1)
                     continue
-                a, b = max(0, first - at - k), min(len(norm), first - at + len(t) + k)
+                a, b = max(0, first - at - k), min(len(padded), first - at + len(t) + k)
                 if done.get(n) == (a, b):
                     continue
                 done[n] = (a, b)
-                hit = myers(self.peq[n], len(t), norm[a:b], k)
+                hit = myers(self.peq[n], len(t), padded[a:b], k)
                 if hit is not None and (n not in best or (hit[0], a + hit[1]) < best[n]):
                     best[n] = (hit[0], a + hit[1])
         for n, (edits, end) in sorted(best.items()):
             t = self.items[n][0]
             a = max(0, end - len(t) - edits)
-            back = myers(self.peq_back[n], len(t), norm[a:end][::-1], edits) if edits else (0, len(t))
-            yield n, edits, end - back[1], end
+            back = myers(self.peq_back[n], len(t), padded[a:end][::-1], edits) if edits else (0, len(t))
+            found = padded[end - back[1] : end]
+            start = end - back[1] + len(found) - len(found.lstrip()) - 1
+            yield n, edits, start, start + len(found.strip())
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -159,14 +160,14 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple
 SCHEMA = "doc_id long, item_id long, edits int, start long, end long"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, edits, start and end (code points of the text) of every item found in every row."""
     spark = docs.sparkSession
     prepare(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 
     def passes(block):
-        shared = spark.sparkContext.broadcast((block, rate, min_chars))  # BLOCK_CHARS at most, or one item
+        shared = spark.sparkContext.broadcast((block, rate))  # BLOCK_CHARS at most, or one item
 
         def make():
             matcher = Matcher(*shared.value)
@@ -188,14 +189,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars:
     return reduce(DataFrame.unionByName, [passes(b) for b in blocks(benchmark)])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """docs without the rows in which an item is found: one pass a block, no shuffle or join; columns stay."""
     spark = docs.sparkSession
     prepare(spark)
     at = docs.columns.index("text")
 
     def passes(rows, block):
-        shared = spark.sparkContext.broadcast((block, rate, min_chars))
+        shared = spark.sparkContext.broadcast((block, rate))
 
         def run(batches):
             matcher = Matcher(*shared.value)
