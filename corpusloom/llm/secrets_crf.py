@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_rows, prepare, smallest_hashes, table
+from corpusloom.llm.common import delete, map_rows, materialise, prepare, smallest_hashes, table
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -46,12 +46,12 @@ REACH, REACH_CHARS = 4, 160
 CREDENTIAL = re.compile(r"(?<![A-Za-z])(?:key|api_?key|secret|token|passw(?:or)?d|passphrase|pwd|credentials?|auth|bearer|pin)(?![A-Za-z])", re.ASCII | re.IGNORECASE)
 #: Words whose features a task keeps, at the start of a text; and tokens decoded at once.
 CACHE, BLOCK = 100_000, 1 << 16
-#: Characters of a token that its features look at.
-SEEN = 256
 TAGS = "OBI"
 MAX_TRAIN = 4000
+#: Bounds of the sample that the field is fitted on: rows, bytes of a text, and bytes of all texts.
 TRAIN_DOCS = 3000
 TRAIN_TEXT_BYTES = 1 << 16
+TRAIN_BYTES = 24 << 20
 EPOCHS, RATE, PENALTY = 6, 0.2, 0.01
 
 
@@ -88,20 +88,20 @@ def _bucket(x: float, steps: tuple) -> int:
 
 
 def _shape(word: str) -> str:
-    out = re.sub(r"[a-z]+", "a", word[:SEEN])
+    out = re.sub(r"[a-z]+", "a", word)
     out = re.sub(r"[A-Z]+", "A", out)
     out = re.sub(r"[0-9]+", "0", out)
     return out if len(out) <= 8 else "mix"
 
 
 def _entropy(word: str) -> float:
-    word = word[:SEEN]
+    word = word
     return -sum(k / len(word) * math.log2(k / len(word)) for k in (word.count(c) for c in set(word)))
 
 
 def own_features(w: str) -> tuple[list[str], bool]:
     """Features of a token alone, and whether it holds a credential word."""
-    cue = CREDENTIAL.search(w[:SEEN]) is not None
+    cue = CREDENTIAL.search(w) is not None
     if len(w) < 6 or (w.isalpha() and (w.islower() or w.istitle())):
         return [f"w={w.lower()}" if len(w) < 12 else "w", "plain"], cue
     if w.isalpha():
@@ -115,8 +115,8 @@ def own_features(w: str) -> tuple[list[str], bool]:
     else:
         kind = "mixed" if re.search(r"[0-9]", w) else "joined"
     size = _bucket(len(w), (8, 12, 16, 20, 32, 40))
-    switches = _bucket(len(re.findall(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])", w[:SEEN])), (1, 2, 4, 8))
-    cases = _bucket(len(re.findall(r"[a-z](?=[A-Z])", w[:SEEN])), (1, 2, 3, 5))
+    switches = _bucket(len(re.findall(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])", w)), (1, 2, 4, 8))
+    cases = _bucket(len(re.findall(r"[a-z](?=[A-Z])", w)), (1, 2, 3, 5))
     out = [kind, f"s={_shape(w)}", f"l={size}", f"e={_bucket(_entropy(w), (2.0, 2.5, 3.0, 3.5, 4.0))}", f"x={switches}", f"{kind}|{switches}|{size}", f"c={cases}|{kind}|{size}"]
     return [*out, "assigns"] if cue and "=" in w[1:-1] else out, cue
 
@@ -425,15 +425,23 @@ def scan(text: str, weights: dict, trans: dict, decoder: Decoder | None = None)
     return base, sorted(base + kept, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def sample(docs: DataFrame, limit: int = TRAIN_DOCS) -> list[str]:
-    """At most limit texts of up to TRAIN_TEXT_BYTES: the rows of smallest hash, half of them with a cue."""
+def sample(docs: DataFrame, limit: int = TRAIN_DOCS, most: int = TRAIN_BYTES) -> list[str]:
+    """At most limit texts of up to TRAIN_TEXT_BYTES, and most bytes in all: the rows of smallest hash, half of them with a
+    cue. Copies of one text are one row."""
     short = docs.where(F.octet_length("text") <= TRAIN_TEXT_BYTES).select("text")
     cue = F.col("text").rlike(r"[A-Za-z0-9+/_.=-]{16,}") & F.col("text").rlike(r"[0-9][a-z]|[A-Z][0-9]")
     texts: list[str] = []
     for rows in (short.where(cue), short):
-        near = smallest_hashes(rows, F.col("text"), limit // 2)
-        # copies of one text are one row before they reach the driver
-        texts += [r.text for r in near.groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).orderBy("h").limit(limit // 2).collect()]
+        near = smallest_hashes(rows, F.col("text"), limit // 2).groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+        near = materialise(near, "sample")  # about limit rows
+        last, total = None, 0
+        for r in near.select("h", F.octet_length("text").alias("n")).orderBy("h").limit(limit // 2).collect():
+            total += r.n
+            if total > most // 2:
+                break
+            last = r.h
+        texts += [r.text for r in near.where(F.col("h") <= last).orderBy("h").collect()] if last is not None else []
+        delete(near)
     return list(dict.fromkeys(texts))
 
 
