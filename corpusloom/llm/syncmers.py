@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_rows, prepare, table
+from corpusloom.llm.common import HOT, map_rows, prepare, table
 
 K, S = 16, 4
 SLOTS = 64
@@ -142,32 +142,40 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def in_order(docs: DataFrame) -> DataFrame:
     """Rows of docs (doc_id, text) laid out so that a task reads whole blocks in ascending doc_id: columns block, look,
     doc_id, text. look marks the row that follows the block's last one; it belongs to another block (or, of a table of
-    one block, to the block's start)."""
+    one block, to the block's start). Rows of a doc_id that has more than a HOT-th of all are blocks of their own, by
+    ranges of their text's hash."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("ord"))
+    ord_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), ord_.alias("ord"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs._jdf.queryExecution().toRdd().getNumPartitions())
     found = rows.select("ord").stat.approxQuantile("ord", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    cuts = np.unique(np.array(found, np.float64)) if found else np.empty(0)
-    shared = spark.sparkContext.broadcast(cuts)  # a number for each scan partition
+    total = rows.count()
+    hot = [r.ord for r in rows.groupBy("ord").count().where(F.col("count") * HOT > max(total, HOT * HOT)).collect()]  # fewer than HOT
+    cuts = np.array(sorted({*(int(min(max(x, -(2.0**63)), 2.0**62)) for x in found), *hot}), np.int64)
+    shared = spark.sparkContext.broadcast((cuts, np.isin(cuts, hot)))  # a number for each scan partition and hot doc_id
 
     @F.pandas_udf("long")
-    def block_of(ord_: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, ord_.to_numpy(np.float64), side="left").astype(np.int64))
-
-    rows = rows.withColumn("block", block_of("ord"))
-    firsts = sorted((r.block, r.first) for r in rows.groupBy("block").agg(F.min("ord").alias("first")).collect())
-    blocks, ids = [b for b, _ in firsts], [i for _, i in firsts]
-    before = {i: blocks[k - 1] for k, i in enumerate(ids)}  # the first block's row goes to the last block
-    schema = "block long, ord long"
-    sent = spark.createDataFrame([(b, i) for i, b in before.items()], schema)
-    own = rows.select("block", F.lit(False).alias("look"), "ord", "doc_id", "text")
-    ahead = docs_ahead(rows, sent)
-    return own.unionByName(ahead).repartition(n, "block").sortWithinPartitions("block", "look", "ord", F.xxhash64("text"), "text").select("block", "look", "doc_id", "text")
-
-
-def docs_ahead(rows: DataFrame, sent: DataFrame) -> DataFrame:
-    """The first rows of blocks, each for the block before; sent has one row a block."""
-    return rows.drop("block").join(F.broadcast(sent), "ord").select("block", F.lit(True).alias("look"), "ord", "doc_id", "text")
+    def block_of(ord_: pd.Series, h: pd.Series) -> pd.Series:
+        points, is_hot = shared.value
+        o = ord_.to_numpy(np.int64)
+        at = np.searchsorted(points, o, side="left")
+        if len(points):
+            near = np.minimum(at, len(points) - 1)
+            own = is_hot[near] & (points[near] == o)
+            # blocks between cut points are even; a hot doc_id is an odd one with parts by the hash, in its order
+            return pd.Series(((2 * at + own) << 8) + np.where(own, (h.to_numpy(np.int64) >> 56) + 128, 0))
+        return pd.Series(at.astype(np.int64))
+
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("block", block_of("ord", "h"))
+    firsts = rows.groupBy("block").agg(F.min("ord").alias("ord"), F.min("h").alias("h")).collect()  # a row a block
+    firsts = sorted((r.block, r.ord, r.h if (r.block >> 8) & 1 else None) for r in firsts)
+    before = [firsts[k - 1][0] for k in range(len(firsts))]  # the first block's row goes to the last block
+    sent = spark.createDataFrame([(b, to, o, h) for (b, o, h), to in zip(firsts, before)], "from_block long, to_block long, first long, first_h long")
+    is_first = (F.col("block") == F.col("from_block")) & (F.col("ord") == F.col("first")) & (F.col("first_h").isNull() | (F.col("first_h") == F.col("h")))
+    ahead = rows.join(F.broadcast(sent), is_first).select(F.col("to_block").alias("block"), F.lit(True).alias("look"), "ord", "h", "doc_id", "text")
+    own = rows.select("block", F.lit(False).alias("look"), "ord", "h", "doc_id", "text")
+    return own.unionByName(ahead).repartition(n, "block").sortWithinPartitions("block", "look", "ord", "h").select("block", "look", "doc_id", "text")
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("n_anchors", pa.int64()), ("anchors_sha256", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
