@@ -3,7 +3,8 @@
 A text is cut at context-free boundaries (an ASCII letter or digit followed by a space: no piece of the split pattern
 and no special token contains that pair, so what stands before and after is encoded alike on its own or together).
 Spans between boundaries that stay short are encoded in runs. A long unsplit span is cut into the split pattern's
-pieces, and a long piece is encoded as a tree: its halves are encoded on their own, and around each join a growing
+pieces, and a long piece is encoded as a tree: it is halved down to leaves, which THREADS threads encode side by side (the
+encoder lets go of the interpreter's lock), and level by level, around each join, a growing
 window of tokens is encoded again until the window's first and last tokens agree exactly with those that stand there.
 That is a proof, not a guess: a sequence of tokens is the encoding of its bytes if and only if every adjacent pair is
 the encoding of its own bytes. Pairs outside the window stood in an encoding, pairs inside stand in the window's
@@ -17,6 +18,7 @@ default; repeated rows give repeated results; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -35,18 +37,42 @@ RUN_CHARS = 1 << 16
 LONG_CHARS = 4096
 #: Bytes of a leaf of the tree.
 LEAF_BYTES = 2048
+#: Leaves of a piece that are encoded at once; a task has the cores of spark.task.cpus.
+THREADS = 2
 #: Tokens on either side of a join in its first window.
 WINDOW = 8
 
 _BOUNDARY = re.compile(r"(?<=[A-Za-z0-9]) ")
 
 
-def encode_piece(enc, piece: bytes, leaf: int = LEAF_BYTES) -> list[int]:
+@functools.lru_cache(maxsize=4)
+def _unsplit(enc):
+    """The same vocabulary, by which a text is one piece."""
+    import tiktoken
+
+    return tiktoken.Encoding(f"{enc.name}-unsplit", pat_str=r"[\s\S]+", mergeable_ranks=enc._mergeable_ranks, special_tokens={})
+
+
+def halves(piece: bytes, leaf: int) -> Iterator[bytes]:
+    """Leaves of the tree, in order; characters stay whole, so that one of them may be longer."""
+    mid = len(piece) // 2
+    while mid and piece[mid] & 0xC0 == 0x80:
+        mid -= 1
+    if len(piece) <= leaf or not mid:
+        yield piece
+    else:
+        yield from halves(piece[:mid], leaf)
+        yield from halves(piece[mid:], leaf)
+
+
+def encode_piece(enc, piece: bytes, leaf: int = LEAF_BYTES, threads: int = THREADS) -> list[int]:
     """Ids of one unsplit piece, as a tree of halves."""
     if len(piece) <= leaf:
         return enc._encode_single_piece(piece)
-    mid = len(piece) // 2
-    return join(enc, encode_piece(enc, piece[:mid], leaf), encode_piece(enc, piece[mid:], leaf))
+    parts = _unsplit(enc).encode_ordinary_batch([x.decode() for x in halves(piece, leaf)], num_threads=threads)
+    while len(parts) > 1:
+        parts = [join(enc, *parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def join(enc, left: list[int], right: list[int], window: int = WINDOW) -> list[int]:
