@@ -28,6 +28,8 @@ from corpusloom.llm.common import map_rows, prepare, smallest_hashes, table
 MAX_TRAIN = 4000
 #: Bound on the UTF-8 bytes of those rows' texts together; rows beyond it, in hash order, are not used.
 MAX_TRAIN_BYTES = 32 << 20
+#: Bound on the UTF-8 bytes of one text that the model is fitted on; longer ones are scored, but not learnt from.
+MAX_TEXT_BYTES = 2 << 20
 MIN_DF = 3
 ALPHA = 1.0
 C = 1.0
@@ -187,22 +189,27 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     return Model(weights, float(w[-1]), slope, offset, base)
 
 
-def sample(texts: DataFrame, labels: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAIN) -> list[tuple[str | None, int]]:
-    """The labelled rows of smallest hash of doc_id, at most max_train of them, from both tables' doc_id."""
+def sample(texts: DataFrame, labels: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> list[tuple[str, int]]:
+    """The labelled rows of smallest hash of doc_id, at most max_train of them and max_bytes of text, from both tables'
+    doc_id. Of several texts of a doc_id the one of smallest hash counts, of several labels the larger one."""
     picked = labels.where("doc_id is not null and quality in (0, 1)")
     picked = (picked if usable is None else picked.where(usable)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    # first bounded by keys alone, then joined by broadcast: max_train rows of two numbers
+    # first bounded by keys alone, then by sizes; only what is kept leaves the executors as text
     keys = smallest_hashes(picked, F.col("doc_id"), max_train).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    sized = texts.select("doc_id", "text").join(F.broadcast(keys), "doc_id")
-    sized = sized.withColumn("text", F.when(F.octet_length("text") <= MAX_TRAIN_BYTES // 16, F.col("text")))
-    rows, total = [], 0
-    for r in sorted(sized.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text or "")):
-        total += len(r.text or "")
-        if total > MAX_TRAIN_BYTES:
+    keys = keys.sparkSession.createDataFrame(keys.collect(), keys.schema)  # max_train rows of two numbers
+    rows = texts.select("doc_id", "text").where(F.octet_length("text") <= MAX_TEXT_BYTES).join(F.broadcast(keys), "doc_id")
+    hashed = rows.select("doc_id", "quality", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    first = hashed.groupBy("doc_id", "quality").agg(F.min("h").alias("h"), F.min_by("n", "h").alias("n")).collect()
+    kept, total = [], 0
+    for r in sorted(first, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)):
+        total += r.n
+        if total > max_bytes:
             break
-        if r.text is not None:
-            rows.append((r.text, int(r.quality)))
-    return rows
+        kept.append((r.doc_id, r.h))
+    wanted = texts.sparkSession.createDataFrame(kept, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long")
+    found = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    got = sorted(found.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    return [(r.text, int(r.quality)) for r in got]
 
 
 def train(texts: DataFrame, labels: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAIN) -> Model:

@@ -54,3 +54,14 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     w = Q.dual_coordinate_descent([np.arange(4)] * 60, list(x), y, cost, 4, 2000)
     value = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
     assert all(value(w) <= value(w + 0.01 * rng.normal(size=4)) + 1e-6 for _ in range(500))
+
+
+def test_sample_is_bounded_and_repeats_count_once(spark):
+    rows = [(i, f"text {i}") for i in range(50)] + [(7, "another text")] * 40 + [(8, "x" * (3 << 20)), (9, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(7, 0), (7, 1), (60, 1)], "doc_id long, quality int")
+    got = Q.sample(docs, labels)
+    assert len(got) == 50 and sum(q for _, q in got) == 25 and ("text 8", 0) in got
+    assert len([t for t, _ in got if t in ("text 7", "another text")]) == 1
+    assert sum(len(t) for t, _ in Q.sample(docs, labels, max_bytes=100)) <= 100 and len(Q.sample(docs, labels, max_train=9)) == 9
+    assert Q.sample(docs.where("false"), labels) == [] == Q.sample(docs, labels.where("false"))
