@@ -14,10 +14,13 @@ import os
 from typing import Protocol
 
 import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from corpusloom.sources.manifest import filesystem
+
 # Fixed value: the split pattern of the byte-pair vocabulary.
 SPLIT_PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 
@@ -26,6 +29,17 @@ SPLIT_PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,
 SAMPLES = ("Hello there, it's 12345 o'clock.", "def f(x):\n\treturn x ** 2  # 2024-01-31\n\n", "Ünïcödé, 漢字 и кириллица 🙂👍🏽", "  spaces   and\r\nlines \n", "")
 
 
+def _is_file(path: str) -> bool:
+    store, place = filesystem(path)
+    return store.get_file_info(place).type == fs.FileType.File
+
+
+def _read(path: str) -> bytes:
+    store, place = filesystem(path)
+    with store.open_input_stream(place, compression=None) as f:
+        return f.read()
+
+
 class Tokenizer(Protocol):
     n_vocab: int
     special_token_ids: frozenset[int]
@@ -124,10 +138,8 @@ class RankBundle(_Named):
     def __init__(self, folder: str, bos: str | None = None, eos: str | None = None, specials: str = "parse"):
         import tiktoken
 
-        with open(os.path.join(folder, "tokenizer_meta.json"), encoding="utf-8") as f:
-            meta = json.load(f)
-        with open(os.path.join(folder, f"{meta['name']}.tiktoken"), "rb") as f:
-            ranks = parse_ranks(f.read())
+        meta = json.loads(_read(f"{folder}/tokenizer_meta.json"))
+        ranks = parse_ranks(_read(f"{folder}/{meta['name']}.tiktoken"))
         self.enc = tiktoken.Encoding(meta["name"], pat_str=meta["pat_str"], mergeable_ranks=ranks, special_tokens=meta["special_tokens"])
         if meta.get("n_vocab") not in (None, self.enc.n_vocab):
             raise ValueError(f"n_vocab is {self.enc.n_vocab}, the bundle says {meta['n_vocab']}")
@@ -185,7 +197,8 @@ class JsonTokenizer(_Named):
     def __init__(self, path: str, bos: str | None = None, eos: str | None = None):
         import tokenizers
 
-        self.inner = tokenizers.Tokenizer.from_file(os.path.join(path, "tokenizer.json") if os.path.isdir(path) else path)
+        file = f"{path}/tokenizer.json"
+        self.inner = tokenizers.Tokenizer.from_buffer(_read(file if _is_file(file) else path))
         self.inner.no_truncation()
         self.inner.no_padding()
         self.n_vocab = 1 + max(self.inner.get_vocab(with_added_tokens=True).values())
@@ -257,7 +270,7 @@ def describe(name: str) -> tuple[str, str]:
     if kind in ("tiktoken", "json") and place:
         return kind, place
     for kind, file in (("tiktoken", "tokenizer_meta.json"), ("json", "tokenizer.json")):
-        if os.path.isfile(os.path.join(name, file)):
+        if _is_file(f"{name}/{file}"):
             return kind, name
     raise ValueError(f"no tokenizer: {name!r} is none of {', '.join(BUILT_IN)}, tiktoken:<folder> or json:<file>, nor a folder with tokenizer_meta.json or tokenizer.json")
 

@@ -412,6 +412,9 @@ def unfinished_subsets(spark, sf_dir):
     return configs.unfinished(mixture, spark.createDataFrame([("src1", True), ("src2", False)], "subset string, committed boolean"))
 
 
+from corpusloom.plans import catalogue_files  # noqa: E402, F401  (registers its queries here)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

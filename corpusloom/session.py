@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,24 @@ def session(app: str = "corpusloom", **conf: str) -> SparkSession:
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one, in local
+    mode alone: executors on other machines could not see it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        inner = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = inner.get() if inner.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, without a scheme where that is a local disk."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return path.removeprefix("file://").replace("file:/", "/") if path.startswith("file:") else path

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.manifest import filesystem, qualify
+
 SUFFIXES = (".jsonl.zst", ".jsonl.gz")
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
 #: Files up to which their places are broadcast.
@@ -74,3 +77,36 @@ def reader(spark: SparkSession, root: str, suffix: str = SUFFIXES[0]) -> Callabl
         return rows.join(F.broadcast(places) if places.count() <= MAX_BROADCAST_SHARDS else places, ["subset", "shard"])
 
     return read
+
+
+def write(lines: DataFrame, root: str) -> None:
+    """Write rows (subset, shard, line_idx, raw) as <root>/<subset>/<shard>.jsonl.zst, the lines of a shard in the order of
+    line_idx. One task writes a shard, aside, and renames it when it is whole, so that a retry writes it again."""
+    columns = ["subset", "shard", "raw"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, out, files = None, None, []
+
+        def close():
+            if out is not None:
+                out.close()
+                store, aside = filesystem(files[-1] + aside_end)
+                store.move(aside, filesystem(files[-1])[1])
+
+        aside_end = f".{uuid.uuid4().hex}.tmp"
+        for batch in batches:
+            for subset, shard, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (subset, shard) != key:
+                    close()
+                    key = (subset, shard)
+                    files.append(f"{root}/{subset}/{shard}{SUFFIXES[0]}")
+                    store, place = filesystem(files[-1] + aside_end)
+                    store.create_dir(place.rpartition("/")[0], recursive=True)
+                    out = pa.CompressedOutputStream(store.open_output_stream(place, compression=None), "zstd")
+                out.write(raw.encode() + b"\n")
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], names=["file"])
+
+    root = qualify(lines.sparkSession, root)
+    rows = lines.select(*columns, "line_idx").repartition("subset", "shard").sortWithinPartitions("subset", "shard", "line_idx")
+    rows.select(*columns).mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
