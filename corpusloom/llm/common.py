@@ -56,19 +56,24 @@ def delete(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: A key is hot if more than one in HOT rows have it; there are fewer than HOT such keys.
+#: A key is hot if more than HOT rows have it and it is among the HOT most frequent ones.
 HOT = 1024
 
 
+def hot_keys(rows: DataFrame, keys: list[str]) -> list:
+    """The hot keys of rows, HOT at most. Of n rows, a key that is not hot has n / HOT rows at most, or HOT."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > HOT)
+    return counts.orderBy(F.col("n_rows").desc()).limit(HOT).select(*keys).collect()
+
+
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left joined (inner or left) with right, which has one narrow row a key. Hot keys of left are joined by broadcast,
-    fewer than HOT rows, so that no task reads a large share of left; all others by a shuffle. Null keys match nothing. left and right are read twice: written tables or cheap plans."""
-    spark = left.sparkSession
-    total = left.count()
-    counts = left.groupBy(*keys).agg(F.count("*").alias("n_left")).where(F.col("n_left") * HOT > max(total, HOT * HOT))
-    hot = counts.select(*keys).collect()  # fewer than HOT rows
+    HOT rows at most, so that no task reads a large share of left; all others by a shuffle. Null keys match nothing. left
+    and right are read twice: written tables or cheap plans."""
+    hot = hot_keys(left, keys)
     if not hot:
         return left.join(right, keys, how)
+    spark = left.sparkSession
     marks = F.broadcast(spark.createDataFrame(hot, left.select(*keys).schema).select(*(F.col(k).alias(f"hot_{k}") for k in keys)))
     same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys))
     few = right.join(marks, same, "left_semi")

@@ -27,11 +27,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = join_unique(both, least, ["u"]).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        large = _with_least(both, "u", "v").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         large = materialise(large, "large-star")
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        near = join_unique(large, least, ["v"])
+        near = _with_least(large, "v", "u")
         small = near.select(F.col("m").alias("u"), "v").unionByName(near.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct()
         small = materialise(small, "small-star")
         after = _print(small)
@@ -44,3 +42,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return state.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(state.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
+
+
+def _with_least(edges: DataFrame, by: str, other: str) -> DataFrame:
+    """Adds m, the least of each node `by` and its neighbours."""
+    return join_unique(edges, edges.groupBy(by).agg(F.least(F.min(other), F.col(by)).alias("m")), [by])

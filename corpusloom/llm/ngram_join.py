@@ -8,9 +8,9 @@ expanded to members, whose sets are compared exactly.
 
 Results are components, so that a link between members that are connected anyhow need not be proven. Star rounds pair
 every group with the leader of most of its buckets (a bucket's leader is the group with the fewest rarer shingles) that
-is in another component, and once every member with the first of its group: fewer pairs than groups. Rounds end
-when one links nothing new, or after STAR_ROUNDS. The last round pairs what a bucket or a group still holds in different
-components, filtered by how many prefix shingles the two groups share (the position filter of the last one in common).
+is in another component, and once every member with the first of its group: fewer pairs than groups. Rounds go on while
+they link much. The last round pairs what a bucket or a group still holds in different components, filtered by the
+positions of the first shingle in common, and then by how many shingles the two prefixes share.
 No link that could join two components is skipped, whatever the size of a bucket.
 
 The order: shingles that repeat within some block of documents are counted over all documents; those of HEAVY_DF
@@ -50,8 +50,9 @@ MAX_HEAVY = 1 << 20
 BLOCK_SHINGLES = 4_000_000
 #: Ids up to which the documents to compare are picked by broadcast; beyond, by a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
-#: Star rounds at most, and pairs of one text that are compared in one task.
-STAR_ROUNDS = 4
+#: Star rounds at most; they end when one links no more than a STAR_SHARE-th of the first.
+STAR_ROUNDS, STAR_SHARE = 8, 50
+#: Pairs of one text that are compared in one task.
 SALT_PAIRS = 256
 
 
@@ -278,6 +279,55 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, words: int, pe
     return out
 
 
+def merged(units: DataFrame, links: DataFrame) -> DataFrame:
+    """units (cid, label and more) with the labels after some links between classes; only the labels that they join are
+    searched for components."""
+    ends = units.select("cid", "label")
+    edges = links.join(ends.select(F.col("cid").alias("u"), F.col("label").alias("lu")), "u").join(ends.select(F.col("cid").alias("v"), F.col("label").alias("lv")), "v")
+    moved = materialise(components(edges.select(F.col("lu").alias("u"), F.col("lv").alias("v"))).select(F.col("node").alias("label"), F.col("label").alias("to")), "moved")
+    out = join_unique(units, moved, ["label"], "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+    out = materialise(out, "units")
+    delete(moved)
+    delete(units)
+    return out
+
+
+def rest_pairs(sig: DataFrame, shared: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of classes in different components whose groups share enough of their prefixes to be alike, or are one."""
+    split = materialise(units.select("gid", "label").distinct(), "split")
+    marked = shared.join(split, "gid")
+    mixed = marked.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k")
+    marked = materialise(marked.join(mixed, "k"), "marked")
+    one, two = (marked.select("k", *(F.col(c).alias(f"{s}_{c}") for c in ("gid", "n", "pos", "label"))) for s in "ab")
+    # of two that may link, one has few rarer shingles
+    one = one.where((100 + percent) * F.col("a_pos") <= (100 - percent) * F.col("a_n"))
+    across = one.join(two, "k").where((F.col("a_gid") != F.col("b_gid")) & (F.col("a_label") != F.col("b_label")) & _may_link("a_", "b_", percent))
+    across = across.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid")).distinct()
+    across = materialise(across, "across")
+    gids = across.select(F.col("a_gid").alias("gid")).unionByName(across.select(F.col("b_gid").alias("gid"))).distinct()
+    keys = materialise(sig.where("keys is not null").select("gid", "n", "keys").join(gids, "gid").groupBy("gid").agg(F.min("keys").alias("keys"), F.min("n").alias("n")), "keys")
+    a, b = (keys.select(*(F.col(c).alias(f"{s}_{c}") for c in ("gid", "n", "keys"))) for s in "ab")
+    near = join_unique(join_unique(across, a, ["a_gid"]), b, ["b_gid"])
+    # prefixes share c shingles; whatever else is in common comes after the last of these in both sets
+    near = near.withColumn("both", F.array_intersect("a_keys", "b_keys"))
+    last = F.element_at("both", -1)
+    most = F.size("both") + F.least(F.col("a_n") - F.array_position("a_keys", last), F.col("b_n") - F.array_position("b_keys", last))
+    near = near.where((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))).select("a_gid", "b_gid")
+    a, b = (units.select(*(F.col(c).alias(f"{s}_{c}") for c in ("gid", "cid", "label"))) for s in "ab")
+    apart = F.col("a_label") != F.col("b_label")
+    pairs = near.join(a, "a_gid").join(b, "b_gid").where(apart)
+    # a group in several components: its members of one, with those of another
+    several = split.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid")
+    members = units.join(several, "gid")
+    a, b = (members.select("gid", *(F.col(c).alias(f"{s}_{c}") for c in ("cid", "label"))) for s in "ab")
+    within = a.join(b, "gid").where((F.col("a_cid") < F.col("b_cid")) & apart)
+    ends = (F.least("a_cid", "b_cid").alias("u"), F.greatest("a_cid", "b_cid").alias("v"))
+    out = materialise(pairs.select(*ends).unionByName(within.select(*ends)).distinct(), "rest")
+    for df in (split, marked, across, keys):
+        delete(df)
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id (equal sets) and component_id (smallest doc_id reachable by links) of every row."""
     if words < 1 or not 1 <= percent <= 100:
@@ -290,55 +340,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     names, rep = classes.select("cid", "doc_id"), groups.select("gid", "rep")
     shared, hot = buckets(sig, counted)
 
-    def least(links: DataFrame) -> DataFrame:
-        return components(links).select(F.col("node").alias("cid"), "label")
-
     # star rounds, the first with each member and the first of its group
-    pairs = join_unique(classes, groups.where("members > 1").select("gid", "rep"), ["gid"]).where("cid <> rep").select(F.col("rep").alias("u"), F.col("cid").alias("v"))
-    label = rep.select("gid", F.col("rep").alias("label"))
-    tried = links = known = None
+    units = materialise(classes.select("cid", "gid", F.col("cid").alias("label")), "units")
+    pairs = join_unique(classes.select("cid", "gid"), groups.where("members > 1").select("gid", "rep"), ["gid"]).where("cid <> rep").select(F.col("rep").alias("u"), F.col("cid").alias("v"))
+    tried = most = None
     for _ in range(STAR_ROUNDS):
+        label = rep.join(units.select(F.col("cid").alias("rep"), "label"), "rep").select("gid", "label")
         found = star(shared, hot, label, percent).join(rep.withColumnRenamed("rep", "v"), "gid").join(rep.select(F.col("gid").alias("lead_gid"), F.col("rep").alias("u")), "lead_gid").select("u", "v")
-        pairs = found if tried is not None else pairs.unionByName(found)
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = materialise(pairs.distinct(), "pairs")
-        new = verified(pairs, docs, names, words, percent)
-        more = not new.isEmpty()
-        tried, links = (pairs, new) if tried is None else (tried.unionByName(pairs), links.unionByName(new))
-        if known is not None and not more:
-            break
-        if known is not None:
-            delete(known)
-        known = materialise(least(links), "known")
-        label = materialise(rep.join(known, rep["rep"] == known["cid"], "left").select("gid", F.coalesce("label", "rep").alias("label")), "labels")
-        if not more:
+        found = pairs.unionByName(found) if tried is None else found.join(tried, ["u", "v"], "left_anti")
+        found = materialise(found.distinct(), "pairs")
+        links = verified(found, docs, names, words, percent)
+        tried, n = found if tried is None else tried.unionByName(found), links.count()
+        most = n if most is None else most
+        if n:
+            units = merged(units, links)
+        delete(links)
+        if n * STAR_SHARE <= most:
             break
 
-    # what buckets and groups still hold in different components
-    units = materialise(join_unique(classes, known, ["cid"], "left").select("gid", "cid", F.coalesce("label", "cid").alias("label")), "units")
-    split = materialise(units.select("gid", "label").distinct(), "split")
-    marked = shared.join(split, "gid")
-    mixed = marked.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k")
-    marked = materialise(marked.join(mixed, "k"), "marked")
-    one, two = (marked.select("k", *(F.col(c).alias(f"{s}_{c}") for c in ("gid", "n", "pos", "label"))) for s in "ab")
-    across = one.join(two, "k").where((F.col("a_gid") < F.col("b_gid")) & (F.col("a_label") != F.col("b_label")) & _may_link("a_", "b_", percent, False))
-    across = across.groupBy("a_gid", "a_label", "b_gid", "b_label").agg(F.count("*").alias("c"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"), F.min("a_n").alias("a_n"), F.min("b_n").alias("b_n"))
-    # prefixes share c shingles; whatever else is in common comes after the last of these in both sets
-    most = F.col("c") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1
-    across = across.where((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))).select("a_gid", "a_label", "b_gid", "b_label")
-    within = split.alias("x").join(split.alias("y"), (F.col("x.gid") == F.col("y.gid")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.gid").alias("a_gid"), F.col("x.label").alias("a_label"), F.col("y.gid").alias("b_gid"), F.col("y.label").alias("b_label"))
-    across = across.unionByName(within).distinct()
-    a, b = (units.select(F.col("gid").alias(f"{s}_gid"), F.col("label").alias(f"{s}_label"), F.col("cid").alias(f"{s}_cid")) for s in "ab")
-    rest = across.join(a, ["a_gid", "a_label"]).join(b, ["b_gid", "b_label"]).select(F.least("a_cid", "b_cid").alias("u"), F.greatest("a_cid", "b_cid").alias("v")).distinct()
+    rest = rest_pairs(sig, shared, units, percent)
     done = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = materialise(rest.join(done, ["u", "v"], "left_anti"), "rest")
-    final = materialise(least(links.unionByName(verified(rest, docs, names, words, percent))), "final")
+    links = verified(rest.join(done, ["u", "v"], "left_anti"), docs, names, words, percent)
+    if not links.isEmpty():
+        units = merged(units, links)
 
-    named = materialise(join_unique(names, final, ["cid"], "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label")), "named")
+    named = materialise(units.select("cid", "label").join(names, "cid"), "named")
     smallest = materialise(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")
     homes = materialise(join_unique(named, smallest, ["label"]).select("cid", "component_id"), "homes")
-    for done_with in (shared, units, split, marked, rest, final, named, smallest, known, label, groups, classes, tried, links):
+    for done_with in (shared, units, rest, links, named, smallest, groups, classes, tried):
         delete(done_with)
     out = join_unique(sig.select("doc_id", "n", "cid"), homes, ["cid"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))

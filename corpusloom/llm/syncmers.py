@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import HOT, map_rows, prepare, table
+from corpusloom.llm.common import hot_keys, map_rows, prepare, table
 
 K, S = 16, 4
 SLOTS = 64
@@ -142,15 +142,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def in_order(docs: DataFrame) -> DataFrame:
     """Rows of docs (doc_id, text) laid out so that a task reads whole blocks in ascending doc_id: columns block, look,
     doc_id, text. look marks the row that follows the block's last one; it belongs to another block (or, of a table of
-    one block, to the block's start). Rows of a doc_id that has more than a HOT-th of all are blocks of their own, by
+    one block, to the block's start). Rows of a hot doc_id (common.hot_keys) are blocks of their own, by
     ranges of their text's hash."""
     spark = docs.sparkSession
     ord_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), ord_.alias("ord"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs._jdf.queryExecution().toRdd().getNumPartitions())
     found = rows.select("ord").stat.approxQuantile("ord", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    total = rows.count()
-    hot = [r.ord for r in rows.groupBy("ord").count().where(F.col("count") * HOT > max(total, HOT * HOT)).collect()]  # fewer than HOT
+    hot = [r.ord for r in hot_keys(rows.select("ord"), ["ord"])]
     cuts = np.array(sorted({*(int(min(max(x, -(2.0**63)), 2.0**62)) for x in found), *hot}), np.int64)
     shared = spark.sparkContext.broadcast((cuts, np.isin(cuts, hot)))  # a number for each scan partition and hot doc_id
 

@@ -98,12 +98,14 @@ def test_long_texts_are_compared_by_all_anchors(spark):
 
 
 def test_a_doc_id_of_many_rows_is_split(spark, monkeypatch):
+    from corpusloom.llm import common
+
     rng = random.Random(10)
     text = lambda: " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(rng.randrange(1, 30)))
     rows = [(5, text()) for _ in range(150)] + [(i, text()) for i in range(120)] + [(None, text()) for _ in range(60)] + [(2**62 + i, text()) for i in range(20)] + [(5, "same text")] * 30
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     whole = sorted(map(str, S.edited_likeness(docs).collect()))
-    monkeypatch.setattr(S, "HOT", 8)
+    monkeypatch.setattr(common, "HOT", 8)
     assert sorted(map(str, S.edited_likeness(docs).collect())) == whole and len(whole) == len(rows)
     blocks = {(r.block, r.doc_id) for r in S.in_order(docs).where("not look").collect()}
     assert len({b for b, k in blocks if k == 5}) > 50 and len({b for b, k in blocks if k is None}) > 20
