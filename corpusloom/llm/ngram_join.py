@@ -10,16 +10,19 @@ Results are components, so that a link between members that are connected anyhow
 every group with the leader of most of its buckets (a bucket's leader is the group with the fewest rarer shingles) that
 is in another component, and once every member with the first of its group: fewer pairs than groups. Rounds go on while
 they link much. The last round pairs what a bucket or a group still holds in different components, filtered by the
-positions of the first shingle in common, and then by how many shingles the two prefixes share.
-No link that could join two components is skipped, whatever the size of a bucket.
+positions of their shingles in common. No link that could join two components is skipped, whatever the size of a bucket.
+
+Pairs are proven in two steps. A class has a print: how many of its shingles fall into each of some cells by their hash.
+The sum of the lesser counts of two prints is a bound on what their sets have in common, and rules most pairs out; sets
+of what is left are compared exactly, from the texts.
 
 The order: shingles that repeat within some block of documents are counted over all documents; those of HEAVY_DF
 documents or more (the most frequent MAX_HEAVY of them, 16 MB, or fewer where many have one count) come last, by frequency. Any order gives the same
 result; a better one gives fewer pairs.
 
-Shuffles: prefix rows once by shingle, and the texts to compare. Buckets of hot shingles, which the counts tell, get their leader
-by a sum and a broadcast instead of a window; a text that is compared with many is salted; hot classes and components
-are joined by broadcast (common.join_unique).
+Shuffles: prefix rows once by shingle, prints and texts of the pairs to compare. Buckets of hot shingles, which the counts
+tell, get their leader by a sum and a broadcast instead of a window; a text that is compared with many is salted; hot
+classes and components are joined by broadcast (common.join_unique).
 
 Two 64-bit hashes may collide: the chance for one pair of sets of a thousand shingles each is below 1e-13.
 
@@ -159,36 +162,62 @@ def prefix(h: np.ndarray, heavy: np.ndarray, counts: np.ndarray, percent: int) -
     return h[:p]
 
 
+def print_of(h: np.ndarray) -> bytes:
+    """A set's print: its size, and for each cell how many of the hashes fall into it, 255 for that many or more."""
+    cells = 64
+    while cells < 4096 and 2 * cells < len(h):
+        cells *= 2
+    counts = np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return len(h).to_bytes(4, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_be_alike(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two sets can be similar enough, by their prints."""
+    x, y = (np.frombuffer(p, np.uint8, offset=4).astype(np.int64) for p in (a, b))
+    x[x == 255] = y[y == 255] = 1 << 40
+    cells = min(len(x), len(y))
+    most = int(np.minimum(x.reshape(-1, cells).sum(0), y.reshape(-1, cells).sum(0)).sum())
+    sizes = [int.from_bytes(p[:4], "little") for p in (a, b)]
+    most = min(most, *sizes)
+    return 100 * most >= percent * (sum(sizes) - most)
+
+
 def signatures(docs: DataFrame, words: int, percent: int, counted: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n (set size), cid (class), gid (group) and the group's prefix, the last once a task and group. counted: the
-    frequent shingles."""
+    """doc_id, n (set size), cid (class), gid (group), the group's prefix and the class's print, these two once a task and
+    group or class. counted: the frequent shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(counted)  # MAX_HEAVY rows at most
     names = ["doc_id", "n", "cid", "gid"]
-    schema = pa.schema([*((c, pa.int64()) for c in names), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([*((c, pa.int64()) for c in names), ("keys", pa.list_(pa.int64())), ("print", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, counts = shared.value
         shingler, sent = Shingler(words), OrderedDict()
+
+        def new(key):
+            if key in sent:
+                return False
+            sent[key] = None
+            if len(sent) > 1_000_000:
+                sent.popitem(last=False)
+            return True
+
         for batch in batches:
-            cols, keys = [[] for _ in names], []
+            cols, keys, prints = [[] for _ in names], [], []
             for doc_id, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
                 h = shingler(text)
-                cid = gid = first = None
+                cid = gid = first = own = None
                 if len(h):
                     cid, first = _class_id(h), prefix(h, heavy, counts, percent)
                     gid = _class_id(np.append(first, np.uint64(len(h))))
-                    if gid in sent:
-                        first = None
-                    else:
-                        sent[gid] = None
-                        if len(sent) > 500_000:
-                            sent.popitem(last=False)
+                    own = print_of(h) if new((0, cid)) else None
+                    first = first if new((1, gid)) else None
                 for c, v in zip(cols, (doc_id, len(h), cid, gid)):
                     c.append(v)
                 keys.append(None if first is None else _signed(first))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                prints.append(own)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cid long, gid long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cid long, gid long, keys array<long>, print binary")
 
 
 def _may_link(a: str, b: str, percent: int, position: bool = True) -> Column:
@@ -200,42 +229,65 @@ def _may_link(a: str, b: str, percent: int, position: bool = True) -> Column:
     return size & ((100 + percent) * F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) >= percent * (na + nb))
 
 
+def over_buckets(rows: DataFrame, hot: DataFrame, **folds: Column) -> DataFrame:
+    """Adds folds over all rows of a shingle k: by a window, or for hot shingles by a sum and a broadcast. rows: a table."""
+    w = Window.partitionBy("k")
+    cold = rows.join(F.broadcast(hot), "k", "left_anti").repartition("k").withColumns({n: f.over(w) for n, f in folds.items()})
+    warm = rows.join(F.broadcast(hot), "k")
+    sums = warm.groupBy("k").agg(*(f.alias(n) for n, f in folds.items()))  # a row a hot shingle
+    return cold.unionByName(warm.join(F.broadcast(sums), "k").select(*cold.columns))
+
+
 def buckets(sig: DataFrame, counted: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
-    """Prefix rows (k, gid, n, pos) of shingles that more than one group has, and the hot shingles (k)."""
+    """Prefix rows (k, gid, n, pos, lead) of shingles that more than one group has, and the hot shingles (k)."""
     spark = sig.sparkSession
     total = sig.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     # shingles of so many documents; a prefix holds about a share of (100 - percent) % of a set, so they are a few times HOT
     hot = spark.createDataFrame([(int(k),) for k in _signed(counted[0][counted[1] * HOT > max(total, HOT * HOT // 4)])], "k long")
+    # tasks may repeat a group's rows, which changes no fold
     rows = sig.where("keys is not null").select("gid", "n", F.posexplode("keys").alias("pos", "k"))
-    # tasks may repeat a group; rows of one shingle meet once, for this and for the count of its groups
-    cold = rows.join(F.broadcast(hot), "k", "left_anti").repartition("k").groupBy("k", "gid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    w = Window.partitionBy("k")
-    cold = cold.withColumn("lo", F.min("gid").over(w)).withColumn("hi", F.max("gid").over(w)).where("lo <> hi").drop("lo", "hi")
-    warm = rows.join(F.broadcast(hot), "k").groupBy("k", "gid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    return materialise(cold.unionByName(warm), "buckets"), hot
+    rows = over_buckets(rows, hot, lo=F.min("gid"), hi=F.max("gid"), lead=F.min(F.struct("pos", "n", "gid")))
+    return materialise(rows.where("lo <> hi").select("k", "gid", "n", "pos", "lead"), "buckets"), hot
 
 
-def star(shared: DataFrame, hot: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """(gid, lead_gid): every group with one leader of its buckets that is in another component and may link; of several
-    the one of most buckets. label: gid, label of every group."""
-    rows = shared.join(label, "gid")
-    lead, w = F.struct("pos", "n", "gid", "label"), Window.partitionBy("k")
-    cold = rows.join(F.broadcast(hot), "k", "left_anti").withColumn("lead", F.min(lead).over(w))
-    warm = rows.join(F.broadcast(hot), "k")
-    leads = warm.groupBy("k").agg(F.min(lead).alias("lead"))
-    both = cold.unionByName(warm.join(F.broadcast(leads), "k"))
-    both = both.select("gid", "n", "pos", "label", F.col("lead.gid").alias("lead_gid"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"), F.col("lead.label").alias("lead_label"))
-    pairs = both.where((F.col("label") != F.col("lead_label")) & _may_link("", "lead_", percent)).groupBy("gid", "lead_gid").agg(F.count("*").alias("n"))
-    best = pairs.groupBy("gid").agg(F.max(F.struct("n", "lead_gid")).alias("best"))
-    return best.select("gid", F.col("best.lead_gid").alias("lead_gid"))
+def stars(shared: DataFrame, percent: int) -> DataFrame:
+    """(gid, lead_gid, buckets): every group with the leaders of its buckets that it may link to, and of how many buckets."""
+    rows = shared.select("gid", "n", "pos", F.col("lead.gid").alias("lead_gid"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
+    rows = rows.where((F.col("gid") != F.col("lead_gid")) & _may_link("", "lead_", percent))
+    return materialise(rows.groupBy("gid", "lead_gid").agg(F.count("*").alias("buckets")), "stars")
+
 
+def likely(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes that their prints do not rule out."""
+    need = materialise(pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct(), "need")
+    side = F.broadcast(need) if need.count() <= MAX_BROADCAST_IDS else need
+    prints = materialise(sig.where("print is not null").select("cid", "print").join(side, "cid", "left_semi").groupBy("cid").agg(F.min("print").alias("print")), "prints")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes whose sets are similar enough. names: cid and the doc_id of one row of each class."""
-    need = materialise(pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct().join(names, "cid"), "need")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array([may_be_alike(a, b, percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
+
+    first, second = (prints.select(F.col("cid").alias(c), F.col("print").alias(f"print_{c}")) for c in "uv")
+    both = join_unique(materialise(join_unique(pairs, first, ["u"]), "halves"), second, ["v"])
+    out = materialise(both.select("u", "v", "print_u", "print_v").mapInArrow(run, "u long, v long"), "likely")
+    delete(need)
+    delete(prints)
+    return out
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sig: DataFrame, names: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes whose sets are similar enough. pairs: a table. names: cid and the doc_id of one row of
+    each class."""
+    pairs = likely(pairs, sig, percent)
+    ends = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid")))
+    degrees = ends.groupBy("cid").agg(F.count("*").alias("n"))
+    need = materialise(degrees.join(names, "cid"), "need")
+    n_need, n_pairs = need.count(), pairs.count()
+    small = lambda df, n: F.broadcast(df) if n <= MAX_BROADCAST_IDS else df
     ids = need.select(F.col("doc_id").alias("need_id")).distinct()
-    side = F.broadcast(ids) if need.count() <= MAX_BROADCAST_IDS else ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids, n_need), F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -243,38 +295,41 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, words: int, pe
             cids = [_class_id(h) if len(h := shingler(t)) else None for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), batch.column(1)], names=["cid", "text"])
 
-    # a repeated doc_id may bring rows of other classes, or one class twice
-    texts = rows.mapInArrow(named, "cid long, text string").where("cid is not null").join(need.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min("text").alias("text"))
-    texts = materialise(texts, "texts")
+    texts = materialise(rows.mapInArrow(named, "cid long, text string").join(small(need.select("cid"), n_need), "cid", "left_semi"), "texts")
+    if texts.count() > n_need:  # a repeated doc_id brought a class twice
+        once = materialise(texts.groupBy("cid").agg(F.min("text").alias("text")), "texts")
+        delete(texts)
+        texts = once
+
+    # u leads: the class of more pairs; its text goes to SALT_PAIRS of them at a time, and that of v to u
+    degree = lambda c: need.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"))
+    turned = join_unique(materialise(join_unique(pairs, degree("u"), ["u"]), "turned"), degree("v"), ["v"])
+    leads = F.struct("n_u", "u") >= F.struct("n_v", "v")
+    turned = materialise(turned.select(F.when(leads, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(leads, F.col("v")).otherwise(F.col("u")).alias("v")), "turned")
+    salts = materialise(turned.groupBy("u").agg(F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts")), "salts")
+    salted = join_unique(turned, salts, ["u"]).select("u", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("v").alias("cid"))
+    heads = salts.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("u").alias("cid"))
+    sent = materialise(salted.unionByName(heads), "sent")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, known = Shingler(words), OrderedDict()
-
-        def shingles(cid, text):
-            if cid not in known:
-                known[cid] = shingler(text)
-                if len(known) > 64:
-                    known.popitem(last=False)
-            return known[cid]
-
+        shingler, x = Shingler(words), None
         for batch in batches:
             us, vs = [], []
-            for u, v, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                x, y = shingles(u, a), shingles(v, b)
+            for u, role, v, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                y = shingler(text)
+                if role == 0:
+                    x = y
+                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
 
-    # u is the one of more pairs, by name; where it has many, its text is repeated for each SALT_PAIRS of them
-    salts = materialise(pairs.groupBy("u").agg(F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts")), "salts")
-    salted = join_unique(pairs, salts, ["u"]).select("u", "v", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"))
-    first = texts.join(salts, texts["cid"] == salts["u"]).select("u", F.col("text").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    second = texts.select(F.col("cid").alias("v"), F.col("text").alias("b"))
-    out = materialise(salted.join(second, "v").join(first, ["u", "salt"]).select("u", "v", "a", "b").mapInArrow(compared, "u long, v long"), "links")
-    for done in (need, texts, salts):
+    moved = texts.join(small(sent, 2 * n_pairs), "cid").repartition("u", "salt").sortWithinPartitions("u", "salt", "role")
+    out = materialise(moved.select("u", "role", "cid", "text").mapInArrow(compared, "u long, v long"), "links")
+    for done in (pairs, need, texts, turned, salts, sent):
         delete(done)
     return out
 
@@ -292,30 +347,19 @@ def merged(units: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def rest_pairs(sig: DataFrame, shared: DataFrame, units: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of classes in different components whose groups share enough of their prefixes to be alike, or are one."""
+def rest_pairs(shared: DataFrame, hot: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of classes in different components whose groups may be alike, or are one."""
     split = materialise(units.select("gid", "label").distinct(), "split")
-    marked = shared.join(split, "gid")
-    mixed = marked.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k")
-    marked = materialise(marked.join(mixed, "k"), "marked")
+    marked = over_buckets(materialise(shared.select("k", "gid", "n", "pos").join(split, "gid"), "marked"), hot, lo=F.min("label"), hi=F.max("label"))
+    marked = materialise(marked.where("lo <> hi").drop("lo", "hi").distinct(), "mixed")
     one, two = (marked.select("k", *(F.col(c).alias(f"{s}_{c}") for c in ("gid", "n", "pos", "label"))) for s in "ab")
     # of two that may link, one has few rarer shingles
     one = one.where((100 + percent) * F.col("a_pos") <= (100 - percent) * F.col("a_n"))
     across = one.join(two, "k").where((F.col("a_gid") != F.col("b_gid")) & (F.col("a_label") != F.col("b_label")) & _may_link("a_", "b_", percent))
-    across = across.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid")).distinct()
-    across = materialise(across, "across")
-    gids = across.select(F.col("a_gid").alias("gid")).unionByName(across.select(F.col("b_gid").alias("gid"))).distinct()
-    keys = materialise(sig.where("keys is not null").select("gid", "n", "keys").join(gids, "gid").groupBy("gid").agg(F.min("keys").alias("keys"), F.min("n").alias("n")), "keys")
-    a, b = (keys.select(*(F.col(c).alias(f"{s}_{c}") for c in ("gid", "n", "keys"))) for s in "ab")
-    near = join_unique(join_unique(across, a, ["a_gid"]), b, ["b_gid"])
-    # prefixes share c shingles; whatever else is in common comes after the last of these in both sets
-    near = near.withColumn("both", F.array_intersect("a_keys", "b_keys"))
-    last = F.element_at("both", -1)
-    most = F.size("both") + F.least(F.col("a_n") - F.array_position("a_keys", last), F.col("b_n") - F.array_position("b_keys", last))
-    near = near.where((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))).select("a_gid", "b_gid")
+    across = materialise(across.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid")).distinct(), "across")
     a, b = (units.select(*(F.col(c).alias(f"{s}_{c}") for c in ("gid", "cid", "label"))) for s in "ab")
     apart = F.col("a_label") != F.col("b_label")
-    pairs = near.join(a, "a_gid").join(b, "b_gid").where(apart)
+    pairs = across.join(a, "a_gid").join(b, "b_gid").where(apart)
     # a group in several components: its members of one, with those of another
     several = split.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid")
     members = units.join(several, "gid")
@@ -323,7 +367,7 @@ def rest_pairs(sig: DataFrame, shared: DataFrame, units: DataFrame, percent: int
     within = a.join(b, "gid").where((F.col("a_cid") < F.col("b_cid")) & apart)
     ends = (F.least("a_cid", "b_cid").alias("u"), F.greatest("a_cid", "b_cid").alias("v"))
     out = materialise(pairs.select(*ends).unionByName(within.select(*ends)).distinct(), "rest")
-    for df in (split, marked, across, keys):
+    for df in (split, marked, across):
         delete(df)
     return out
 
@@ -341,16 +385,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared, hot = buckets(sig, counted)
 
     # star rounds, the first with each member and the first of its group
+    star = stars(shared, percent)
     units = materialise(classes.select("cid", "gid", F.col("cid").alias("label")), "units")
-    pairs = join_unique(classes.select("cid", "gid"), groups.where("members > 1").select("gid", "rep"), ["gid"]).where("cid <> rep").select(F.col("rep").alias("u"), F.col("cid").alias("v"))
+    inner = join_unique(classes.select("cid", "gid"), groups.where("members > 1").select("gid", "rep"), ["gid"]).where("cid <> rep").select(F.col("rep").alias("u"), F.col("cid").alias("v"))
     tried = most = None
     for _ in range(STAR_ROUNDS):
-        label = rep.join(units.select(F.col("cid").alias("rep"), "label"), "rep").select("gid", "label")
-        found = star(shared, hot, label, percent).join(rep.withColumnRenamed("rep", "v"), "gid").join(rep.select(F.col("gid").alias("lead_gid"), F.col("rep").alias("u")), "lead_gid").select("u", "v")
-        found = pairs.unionByName(found) if tried is None else found.join(tried, ["u", "v"], "left_anti")
-        found = materialise(found.distinct(), "pairs")
-        links = verified(found, docs, names, words, percent)
-        tried, n = found if tried is None else tried.unionByName(found), links.count()
+        side = rep.join(units.select(F.col("cid").alias("rep"), "label"), "rep")
+        pairs = star.join(side.select("gid", F.col("rep").alias("v"), "label"), "gid")
+        pairs = join_unique(materialise(pairs, "half"), side.select(F.col("gid").alias("lead_gid"), F.col("rep").alias("u"), F.col("label").alias("lead_label")), ["lead_gid"]).where("label <> lead_label")
+        if tried is not None:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = pairs.groupBy("v").agg(F.max(F.struct("buckets", "u")).alias("best")).select(F.col("best.u").alias("u"), "v")
+        pairs = materialise((inner.unionByName(pairs) if tried is None else pairs).distinct(), "pairs")
+        links = verified(pairs, docs, sig, names, words, percent)
+        tried, n = pairs if tried is None else tried.unionByName(pairs), links.count()
         most = n if most is None else most
         if n:
             units = merged(units, links)
@@ -358,16 +406,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if n * STAR_SHARE <= most:
             break
 
-    rest = rest_pairs(sig, shared, units, percent)
+    rest = rest_pairs(shared, hot, units, percent)
     done = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    links = verified(rest.join(done, ["u", "v"], "left_anti"), docs, names, words, percent)
+    rest = materialise(rest.join(done, ["u", "v"], "left_anti"), "untried")
+    links = verified(rest, docs, sig, names, words, percent)
     if not links.isEmpty():
         units = merged(units, links)
 
     named = materialise(units.select("cid", "label").join(names, "cid"), "named")
     smallest = materialise(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")
     homes = materialise(join_unique(named, smallest, ["label"]).select("cid", "component_id"), "homes")
-    for done_with in (shared, units, rest, links, named, smallest, groups, classes, tried):
+    for done_with in (shared, star, units, rest, links, named, smallest, groups, classes, tried):
         delete(done_with)
     out = join_unique(sig.select("doc_id", "n", "cid"), homes, ["cid"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))

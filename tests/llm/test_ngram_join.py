@@ -126,3 +126,19 @@ def test_hot_keys(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((-1 if r.doc_id is None else r.doc_id or -1, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in N.near_duplicates(docs, 4, 70).collect())
     assert got == [(-1 if k == 0 else k, *x) for k, *x in brute(rows, 4, 70)]
+
+
+def test_prints_rule_out_no_similar_pair():
+    rng = random.Random(15)
+    hashes = lambda n: N.np.unique(N.np.array([rng.randrange(2**64) for _ in range(n)], N.np.uint64))
+    ruled_out = 0
+    for _ in range(300):
+        base = hashes(rng.choice((1, 5, 90, 300, 3000)))
+        a, b = (N.np.unique(N.np.concatenate([base[: max(1, int(len(base) * rng.uniform(0.5, 1)))], hashes(rng.randrange(1 + len(base) // 2))])) for _ in range(2))
+        both = len(N.np.intersect1d(a, b))
+        alike = 100 * both >= 80 * (len(a) + len(b) - both)
+        assert N.may_be_alike(N.print_of(a), N.print_of(b), 80) or not alike
+        ruled_out += not N.may_be_alike(N.print_of(a), N.print_of(b), 80)
+    assert ruled_out > 100
+    many = N.np.arange(2**22, dtype=N.np.uint64) * N.np.uint64(4096)  # one cell, above 255
+    assert N.may_be_alike(N.print_of(many), N.print_of(many[:-9]), 99)
