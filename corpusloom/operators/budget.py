@@ -14,16 +14,16 @@ from corpusloom.operators.prefix import CHUNK, prefix_fold, prefix_sum
 MAX_VAL_TOKENS = 20_000_000
 
 
-def budget_cut(docs: DataFrame, target: str = "target_tokens", order: str = "line_idx", major: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+def budget_cut(docs: DataFrame, target: str = "target_tokens", order: str = "line_idx", major: list[str] | None = None, chunk: int = CHUNK, span: int | None = None) -> DataFrame:
     """Rows that are seen: a line is seen while what was accepted before it stays below the target; the last may overshoot.
     Rows after the cut count nowhere. docs: subset, n_framed, the target and the order."""
-    summed = prefix_sum(docs, "n_framed", order, ["subset"], major, chunk)
+    summed = prefix_sum(docs, "n_framed", order, ["subset"], major, chunk, span=span)
     return summed.where(F.col("prior") < F.col(target))
 
 
-def doc_limit(docs: DataFrame, limit: int, order: str = "line_idx", major: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+def doc_limit(docs: DataFrame, limit: int, order: str = "line_idx", major: list[str] | None = None, chunk: int = CHUNK, span: int | None = None) -> DataFrame:
     """The first limit lines of each subset, whatever their status; 0 gives none."""
-    counted = prefix_sum(docs.withColumn("_one", F.lit(1)), "_one", order, ["subset"], major, chunk, out="_seen")
+    counted = prefix_sum(docs.withColumn("_one", F.lit(1)), "_one", order, ["subset"], major, chunk, out="_seen", span=span)
     return counted.where(F.col("_seen") < limit).drop("_one", "_seen")
 
 
@@ -79,8 +79,8 @@ def subset_counters(seen: DataFrame) -> DataFrame:
     )
 
 
-def running(df: DataFrame, value: str, order: str, by: list[str] | None = None) -> DataFrame:
+def running(df: DataFrame, value: str, order: str, by: list[str] | None = None, span: int | None = None) -> DataFrame:
     """Adds best (running minimum), and is_best: strictly below all before it. order: an integer
     column."""
-    out = prefix_fold(df, F.col(value), "min", order, by, out="_before")
+    out = prefix_fold(df, F.col(value), "min", order, by, out="_before", span=span)
     return out.withColumn("best", F.least("_before", value)).withColumn("is_best", F.col("_before").isNull() | (F.col(value) < F.col("_before"))).drop("_before")

@@ -32,9 +32,9 @@ def segment_lengths(docs: DataFrame, n: str = "n_tokens", longest: int = 65_536)
     return rows.select(*docs.columns, "seg_idx", (inner + first.cast("int") + last.cast("int")).cast("long").alias("seg_tokens"), first.alias("has_bos"), last.alias("has_eos"))
 
 
-def offsets(docs: DataFrame, tokens: str = "n_framed", order: str = "line_idx", major: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+def offsets(docs: DataFrame, tokens: str = "n_framed", order: str = "line_idx", major: list[str] | None = None, chunk: int = CHUNK, span: int | None = None) -> DataFrame:
     """Adds off: where a document's tokens start in its split's stream."""
-    return prefix_sum(docs, tokens, order, ["split"], major, chunk, out="off")
+    return prefix_sum(docs, tokens, order, ["split"], major, chunk, out="off", span=span)
 
 
 def shard_pieces(docs: DataFrame, limit: int, tokens: str = "n_framed", off: str = "off") -> DataFrame:

@@ -15,16 +15,21 @@ CHUNK = 65_536
 FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+def span_of(df: DataFrame, order: str) -> int:
+    """The difference of the order's extremes, by one job that reads this column alone where df is a table."""
+    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    return 0 if ends.lo is None else int(ends.hi) - int(ends.lo)
+
+
 def prefix_fold(df: DataFrame, value: Column, fold: str, order: str, by: list[str] | None = None, major: list[str] | None = None, chunk: int = CHUNK, out: str = "prior", tie: list[Column] | None = None, span: int | None = None) -> DataFrame:
     """Adds out: the fold (sum, min or max) of value over all rows before this one within `by`, in the order of
     (major..., order); null where there is none.
 
-    order must be an integer column, unique within (by, major) unless tie breaks it. major holds leading ordinals. span is
-    the difference of the order's extremes; where it is not given, one job looks for it."""
+    order must be an integer column, unique within (by, major) unless tie breaks it. major holds leading ordinals. span is a
+    bound on the difference of the order's extremes; where it is not given, span_of(df) runs a job, so that rows which are costly
+    to make should bring the span of the table that they come from."""
     by, major, join = by or [], major or [], FOLDS[fold]
-    if span is None:
-        ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-        span = 0 if ends.lo is None else int(ends.hi) - int(ends.lo)
+    span = span_of(df, order) if span is None else span
     keyed = df.withColumn("_value", value).withColumn("_chunk", F.floor(F.col(order) / chunk).cast("long") if span < 2**52 else F.expr(f"cast(floor(cast(`{order}` as decimal(20,0)) / {chunk}) as bigint)"))
     keys = [*by, *major, "_chunk"]
     totals = keyed.groupBy(*keys).agg(join("_value").alias("_total"))
@@ -47,6 +52,6 @@ def prefix_fold(df: DataFrame, value: Column, fold: str, order: str, by: list[st
     return joined.select("s.*", both.alias(out)).drop("_value", "_chunk", "_within")
 
 
-def prefix_sum(df: DataFrame, value: str, order: str, by: list[str] | None = None, major: list[str] | None = None, chunk: int = CHUNK, out: str = "prior", tie: list[Column] | None = None) -> DataFrame:
+def prefix_sum(df: DataFrame, value: str, order: str, by: list[str] | None = None, major: list[str] | None = None, chunk: int = CHUNK, out: str = "prior", tie: list[Column] | None = None, span: int | None = None) -> DataFrame:
     """Adds out: the sum of value over all rows before this one, 0 where there is none."""
-    return prefix_fold(df, F.col(value), "sum", order, by, major, chunk, out, tie).withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long"))
+    return prefix_fold(df, F.col(value), "sum", order, by, major, chunk, out, tie, span).withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import hashing, text, tokenizers, training
-from corpusloom.operators import budget, chat, configs, estimate, ladder, logits, metrics, packing, sampling
+from corpusloom.operators import budget, chat, configs, estimate, ladder, logits, metrics, packing, prefix, sampling
 
 SEED, FRACTION, TARGET, CAP = 7, 0.25, 20_000, 3_000
 SHARD, CONTEXT, LONGEST = 5_000, 256, 1_000
@@ -52,8 +52,12 @@ g as (select subset, line_idx, i, n_framed <= {CAP} as fits, case when n_framed
 e as (select s.*, case when coalesce(g.fits, false) then 'val' else 'train' end as split from s left join g on s.subset = g.subset and s.line_idx = g.line_idx)"""
 
 
+def _span(spark, sf_dir):
+    return prefix.span_of(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _seen(spark, sf_dir):
-    return budget.budget_cut(_docs(spark, sf_dir).withColumn("target_tokens", F.lit(TARGET)))
+    return budget.budget_cut(_docs(spark, sf_dir).withColumn("target_tokens", F.lit(TARGET)), span=_span(spark, sf_dir))
 
 
 def _split(spark, sf_dir):
@@ -79,7 +83,7 @@ def budget_cut_by_source(spark, sf_dir):
 
 @query(f"""with {D}, n as (select *, row_number() over (partition by subset order by line_idx) as rn from p) select subset, count(*) as docs, max(line_idx) as last_line from n where rn <= 11 group by subset""")
 def doc_limit_by_source(spark, sf_dir):
-    return budget.doc_limit(_docs(spark, sf_dir), 11).groupBy("subset").agg(F.count("*").alias("docs"), F.max("line_idx").alias("last_line"))
+    return budget.doc_limit(_docs(spark, sf_dir), 11, span=_span(spark, sf_dir)).groupBy("subset").agg(F.count("*").alias("docs"), F.max("line_idx").alias("last_line"))
 
 
 @query(f"""select source as subset, ('0x' || substr(md5('{SEED}|' || source || '|' || doc_id), 1, 15))::bigint % 1000000 < {int(0.002 * 1_000_000)} as candidate, count(*) as docs from documents group by all""")
@@ -119,7 +123,7 @@ h as (select split, shard, sum(stop - start)::bigint as tokens, count(*) as piec
 
 def _pieces(spark, sf_dir):
     rows = _split(spark, sf_dir).where("n_framed > 0").withColumn("subset_ord", F.regexp_replace("subset", "src", "").cast("int"))
-    return packing.shard_pieces(packing.offsets(rows, major=["subset_ord"]), SHARD)
+    return packing.shard_pieces(packing.offsets(rows, major=["subset_ord"], span=_span(spark, sf_dir)), SHARD)
 
 
 @query(f"""with recursive {OFF} select split, line_idx, shard, (start - shard * {SHARD})::bigint as shard_off, (start - off)::bigint as skip, (stop - start)::bigint as take from t""")

@@ -56,8 +56,8 @@ def streaming_budget(spark, sf_dir):
     """Incremental ingest of written shards under a budget a subset, up to the end of what is there."""
     root, out, place = _shards(spark, sf_dir), scratch(spark, "ingested"), scratch(spark, "ingest")
     names = [r.source for r in table(spark, sf_dir, "documents").select("source").distinct().collect()]
-    ingest.start(ingest.accepted(ingest.lines(spark, f"{root}/*"), dict.fromkeys(names, TARGET)), out, place).awaitTermination()
-    return spark.read.schema("subset string, shard string, line_idx long, status string, n_framed long, prior long").parquet(out).select("subset", "shard", "line_idx", "n_framed", "prior")
+    ingest.start(ingest.lines(spark, f"{root}/*"), dict.fromkeys(names, TARGET), out, place).awaitTermination()
+    return ingest.read(spark, out).select("subset", "shard", "line_idx", "n_framed", "prior")
 
 
 # The build keys its split by shard, too.

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import tokenizers
 from corpusloom.operators import budget, ladder, packing
+from corpusloom.operators.prefix import span_of
 from corpusloom.sources import manifest, token_shards
 
 
@@ -80,9 +81,10 @@ def counted(docs: DataFrame, mixture: DataFrame, recipe: Recipe) -> DataFrame:
 
 def decisions(rows: DataFrame, recipe: Recipe) -> DataFrame:
     """Of counted rows those that are seen, with their split."""
-    seen = budget.budget_cut(rows, major=["shard_ord"])
+    span = span_of(rows, "line_idx")
+    seen = budget.budget_cut(rows, major=["shard_ord"], span=span)
     if recipe.limit_docs_per_subset is not None:
-        seen = budget.doc_limit(seen, recipe.limit_docs_per_subset, major=["shard_ord"])
+        seen = budget.doc_limit(seen, recipe.limit_docs_per_subset, major=["shard_ord"], span=span)
     return budget.greedy_cap(seen, recipe.max_val_tokens_per_subset, major=["shard_ord"])
 
 

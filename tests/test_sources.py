@@ -137,11 +137,11 @@ def test_modes_and_resume(spark, tmp_path):
 def test_streaming_budget_over_two_runs(spark, tmp_path):
     text = lambda n: json.dumps({"text": "w" * n}).encode()
     put(tmp_path / "in" / "web" / "s0.jsonl.zst", [text(40), b"broken", text(3), text(50)])
-    rows = lambda: ingest.accepted(ingest.lines(spark, f"{tmp_path}/in/*"), {"web": 200})
-    ingest.start(rows(), f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
+    run = lambda: ingest.start(ingest.lines(spark, f"{tmp_path}/in/*"), {"web": 200}, f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
+    run()
     put(tmp_path / "in" / "web" / "s1.jsonl.zst", [text(60), text(98), text(33), text(34)])
-    ingest.start(rows(), f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
-    got = sorted((r.shard, r.line_idx, r.status, r.n_framed, r.prior) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    run()
+    got = sorted((r.shard, r.line_idx, r.status, r.n_framed, r.prior) for r in ingest.read(spark, f"{tmp_path}/out").collect())
     assert got == [("s0.jsonl.zst", 0, "written", 42, 0), ("s0.jsonl.zst", 1, "malformed", 0, 42), ("s0.jsonl.zst", 2, "short", 0, 42), ("s0.jsonl.zst", 3, "written", 52, 42), ("s1.jsonl.zst", 0, "written", 62, 94), ("s1.jsonl.zst", 1, "written", 100, 156)]
 
 
@@ -232,3 +232,47 @@ def test_tokenizer_names(tmp_path):
     assert 50256 not in t.encode_ordinary(texts[1]) and t.token_bytes(t.encode("é")[0]) in ("é".encode(), "é".encode()[:1])
     with pytest.raises(ValueError):
         t.encode("x", add_bos=True)
+
+
+def test_a_repeated_trigger_counts_once(spark, tmp_path, monkeypatch):
+    text = lambda n: json.dumps({"text": "w" * n}).encode()
+    put(tmp_path / "in" / "web" / "s0.jsonl.zst", [text(40), text(50)])
+    put(tmp_path / "in" / "other" / "s0.jsonl.zst", [text(40)])
+    run = lambda: ingest.start(ingest.lines(spark, f"{tmp_path}/in/*"), {"web": 130}, f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
+    run()
+    put(tmp_path / "in" / "web" / "s1.jsonl.zst", [text(33), text(34), text(35)])
+    write, calls = manifest.write_json, []
+
+    def lost(path, payload):
+        write(path, payload)
+        calls.append(payload)
+        if len(calls) == 1:
+            raise OSError("lost after the numbers were kept, before the trigger was committed")
+
+    monkeypatch.setattr(manifest, "write_json", lost)
+    with pytest.raises(Exception):
+        run()
+    run()
+    assert calls[0] == calls[1]
+    got = sorted((r.shard, r.line_idx, r.prior) for r in ingest.read(spark, f"{tmp_path}/out").collect())
+    assert got == [("s0.jsonl.zst", 0, 0), ("s0.jsonl.zst", 1, 42), ("s1.jsonl.zst", 0, 94), ("s1.jsonl.zst", 1, 129)]
+
+
+def test_lines_are_written_as_they_are_read(spark, tmp_path):
+    rows = [(s, f"k{k}", i, json.dumps({"text": f"{s} é{i}"})) for s in "ab" for k in range(2) for i in range(50)]
+    random.Random(1).shuffle(rows)
+    jsonl.write(spark.createDataFrame(rows, "subset string, shard string, line_idx long, raw string").repartition(5), str(tmp_path / "w"))
+    got = sorted((r.subset, r.shard, r.line_idx, r.text) for r in jsonl.reader(spark, str(tmp_path / "w"))(["a", "b"]).where("shard_ord < 2").collect())
+    assert got == sorted((s, f"{k}.jsonl.zst", i, f"{s} é{i}") for s, k, i, _ in rows)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace as NS
+
+    from corpusloom import session
+
+    none = NS(isDefined=lambda: False)
+    unset = NS(conf=NS(get=lambda *a: None), sparkContext=NS(getConf=lambda: NS(get=lambda *a: None), _jsc=NS(sc=lambda: NS(getCheckpointDir=lambda: none)), master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.shared_dir(unset)
+    assert session.scratch(spark, "x").startswith(session.shared_dir(spark).removeprefix("file://"))
