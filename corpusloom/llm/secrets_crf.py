@@ -282,15 +282,17 @@ class Decoder:
 def _planted(rng: random.Random) -> tuple[str, str]:
     """A secret of a kind that the base patterns don't cover, with the words before it."""
     chars = string.ascii_letters + string.digits
-    kind = rng.randrange(8)
+    kind = rng.randrange(9)
     body = "".join(rng.choice(chars) for _ in range(rng.choice((20, 24, 32, 40, 44))))
-    lead = ("Bearer ", "credential: ", "credential = ", "access_key: ", "client_key = ", "auth: ", "pin: ", "key = ")
+    lead = ("Bearer ", "credential: ", "credential = ", "access_key: ", "client_key = ", "auth: ", "pin: ", "key = ", "pin ", "passphrase ")
     if kind == 5:
         return "".join(rng.choice(string.ascii_letters) for _ in range(len(body))), rng.choice(lead)
     if kind == 6:
         return "-".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randrange(4, 9))) for _ in range(rng.randrange(3, 6))), rng.choice(lead)
     if kind == 7:
         return "".join(rng.choice(string.digits) for _ in range(rng.choice((12, 16, 20, 24)))), rng.choice(lead)
+    if kind == 8:
+        return "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randrange(12, 25))), rng.choice(lead)
     if kind == 0:
         return "ghp_" + body, rng.choice(("", "auth ", "pat: "))
     if kind == 1:

@@ -133,7 +133,7 @@ def test_every_token_is_decoded():
 def test_secrets_without_digits_or_letters_and_spans_that_overlap(spark):
     rng = random.Random(13)
     line, model = _model(rng)
-    for lead, secret in (("client_key = ", "qWeRtYuIoPaSdFgHjKlZxCvB"), ("credential: ", "correct-horse-battery-staple"), ("Bearer ", "AbCdEfGhIjKlMnOpQrStUvWxYz"), ("pin: ", "48392017483920174839")):
+    for lead, secret in (("client_key = ", "qWeRtYuIoPaSdFgHjKlZxCvB"), ("credential: ", "correct-horse-battery-staple"), ("Bearer ", "AbCdEfGhIjKlMnOpQrStUvWxYz"), ("pin: ", "48392017483920174839"), ("credential: ", "correcthorsebatterystaple"), ("passphrase ", "qmxkwvzjtrplhbdc")):
         text = f"{line(9)} {lead}{secret} {line(9)}"
         assert ("crf", text.index(secret), text.index(secret) + len(secret)) in S.scan(text, *model)[1], text
     # a field span of which a base span holds only a part stays whole
@@ -144,3 +144,24 @@ def test_secrets_without_digits_or_letters_and_spans_that_overlap(spark):
     assert [k for k, _, _ in base] == ["access"] and ("crf", at, at + len(token)) in every
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert S.redact(docs, model).first().text == text.replace(token, "[SECRET]")
+
+
+def test_kinds_absent_from_training_and_plain_texts():
+    """Recall by kind, and that running words, dates, paths and names stay, with a field fitted on other kinds."""
+    rng = random.Random(21)
+    line, model = _model(rng)
+    decoder = S.Decoder(*model)
+    draw = lambda n, chars="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(chars) for _ in range(n))
+    kinds = {"glpat": lambda: ("", "glpat-" + draw(20)), "AIza": lambda: ("", "AIza" + draw(35)), "jwt": lambda: ("Authorization: ", f"eyJ{draw(17)}.{draw(30)}.{draw(43)}"), "digits": lambda: ("pwd ", draw(14, "0123456789"))}
+    for name, make in kinds.items():
+        found = 0
+        for _ in range(100):
+            lead, secret = make()
+            text = f"{line(15)} {lead}{secret} {line(15)}"
+            at = text.index(secret)
+            found += any(k != "hex" and s <= at and e >= at + len(secret) for k, s, e in S.scan(text, *model, decoder)[1])
+        print(name, found)
+        assert found >= (60 if name == "digits" else 90), (name, found)
+    wrong = sum(bool(S.scan(line(60), *model, decoder)[1]) for _ in range(200))
+    print("plain texts with spans", wrong)
+    assert wrong <= 4
