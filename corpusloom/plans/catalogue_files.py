@@ -65,11 +65,11 @@ D_BUILD = D.replace("'|' || line_idx)", "'|000|' || line_idx)")
 STREAM = f"""{D_BUILD}, {GREEDY}, o as (select *, coalesce(sum(n_framed) over (partition by split order by replace(subset, 'src', '')::int, line_idx rows between unbounded preceding and 1 preceding), 0)::bigint as off from e where n_framed > 0)"""
 
 
-def _built(spark, sf_dir, **more):
+def _built(spark, sf_dir, root=None, **more):
     docs = table(spark, sf_dir, "documents")
     names = sorted((r.source for r in docs.select("source").distinct().collect()), key=lambda s: int(s.removeprefix("src")))
     rows = ladder.from_table(docs).withColumn("shard", F.lit("000")).withColumn("shard_ord", F.lit(0))
-    root = scratch(spark, "built")
+    root = root or scratch(spark, "built")
     recipe = dataset.Recipe(root, train_shard_tokens=SHARD, val_shard_tokens=SHARD, val_fraction=FRACTION, max_val_tokens_per_subset=CAP, seed=SEED, max_doc_tokens=10**9, context_length=CONTEXT, **more)
     return root, dataset.build(spark, rows, [(s, TARGET) for s in names], recipe)
 
@@ -99,8 +99,12 @@ def manifest_splits(spark, sf_dir):
 
 @query(f"""with recursive {D_BUILD}, {GREEDY} select subset, count(*) as docs_seen, count(*) filter (status = 'written') as docs_written, sum(n_framed)::bigint as actual_tokens, {TARGET}::bigint as target_tokens, true as completed from e group by subset""")
 def manifest_subsets(spark, sf_dir):
-    """A build that was resumed after its decisions were lost, by subset."""
-    root, first = _built(spark, sf_dir)
+    """A build that was resumed after its manifest, its work folder and a shard were lost, by subset."""
+    root, _ = _built(spark, sf_dir)
+    for lost in (manifest.MANIFEST, "train/tokens_000000.bin"):
+        store, place = manifest.filesystem(f"{root}/{lost}")
+        store.delete_file(place)
+    _built(spark, sf_dir, root, resume=True)
     rows = [(s, v["docs_seen"], v["docs_written"], v["actual_tokens"], v["target_tokens"], v["completed"]) for s, v in manifest.read_manifest(root)["subsets"].items()]
     return spark.createDataFrame(rows, "subset string, docs_seen long, docs_written long, actual_tokens long, target_tokens long, completed boolean")
 
