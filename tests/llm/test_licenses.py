@@ -57,3 +57,14 @@ def test_whole_licence_files(spark):
     rows = [(0, "a/LICENSE.txt", "Preamble. " + full), (1, "a/b/c.py", "no licence here"), (2, "e/code.py", full)]
     got = {r.doc_id: (r.licence, r.origin) for r in L.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), templates).collect()}
     assert got == {0: ("Long-1.0", "file"), 1: ("Long-1.0", "inherited"), 2: (None, None)}
+
+
+def test_hot_directories(spark, monkeypatch):
+    from corpusloom.llm import common
+
+    rows = [(i, f"a/b{i % 3}/f{i}", "plain text") for i in range(90)] + [(200, "a/LICENSE", "Released under the MIT License.")] + [(300 + i, None, "no path") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    whole = sorted(map(str, L.scan(docs).collect()))
+    monkeypatch.setattr(common, "HOT", 5)
+    assert sorted(map(str, L.scan(docs).collect())) == whole
+    assert sum("inherited" in r for r in whole) == 90

@@ -53,3 +53,12 @@ def test_a_template_is_rejected_on_its_labels(spark, tmp_path):
     con.sql(f"create view pages as select * from '{path}/*.parquet'")
     want = con.sql(f"select page_id, host, path, rule, verdict, template from ({U.oracle(rules)})").fetchall()
     assert sorted(map(str, want)) == sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict, r.template)) for r in got.values())
+
+
+def test_hot_hosts_and_paths(spark, tmp_path, monkeypatch):
+    from corpusloom.llm import common
+
+    monkeypatch.setattr(common, "HOT", 6)
+    rows = [(i, f"http://h{i % 2}.net/{('es', 'de', 'en')[i % 3]}/{i % 9}") for i in range(200)] + [(500 + i, None) for i in range(60)] + [(700 + i, "http://big.org/same/path") for i in range(80)]
+    got = check(spark, tmp_path, rows, "hot")
+    assert got[500].template == "" and got[700].template == "/same/path" and len(got) == 340
