@@ -127,13 +127,22 @@ def _opened(recipe: Recipe, settings: dict) -> dict | None:
     return None
 
 
+LEDGER_VERSION = 1
+
+
 class Ledger:
-    """What is done: counted (folder of counts by the place of its first subset), decided, shards."""
+    """What is done: counted (folder of counts by the place of its first subset), decided, shards. A ledger that does not fit
+    the run is an error."""
 
-    def __init__(self, recipe: Recipe):
+    def __init__(self, recipe: Recipe, subsets: list[str]):
         self.path = f"{recipe.output_root}/{'dry_run_' if recipe.dry_run else ''}progress.json"
         kept = manifest.read_json(self.path) if recipe.resume and manifest.exists(self.path) else {}
-        self.done = {"counted": {}, "decided": False, "shards": 0, "of_shards": None} | kept
+        if kept.get("version", LEDGER_VERSION) != LEDGER_VERSION:
+            raise ValueError(f"the ledger has version {kept['version']}, not {LEDGER_VERSION}")
+        self.done = {"version": LEDGER_VERSION, "counted": {}, "decided": False, "shards": 0, "of_shards": None} | kept
+        counted_names = [s for names in self.done["counted"].values() for s in names]
+        if len(set(counted_names)) != len(counted_names) or not set(counted_names) <= set(subsets) or self.done["shards"] > (self.done["of_shards"] or 0):
+            raise ValueError("the ledger contradicts itself or the mixture")
 
     def commit(self, **facts) -> None:
         self.done |= facts
@@ -185,7 +194,7 @@ def build(spark: SparkSession, docs: Documents, mixture_rows: list[tuple[str, in
     manifest.write_json(f"{root}/{manifest.DRY_SETTINGS if recipe.dry_run else manifest.SETTINGS}", settings)
     # texts are read and tokenised once for the counts; prefix sums and joins go over rows without texts. Decisions are
     # written once as well: partitions and retries cannot change them
-    work, ledger = f"{root}/_work", Ledger(recipe)
+    work, ledger = f"{root}/_work", Ledger(recipe, names)
     rows = _count(spark, docs, mixture_rows, recipe, ledger, work)
     shards_of = listed(rows) if shards_of is None else shards_of
     if not (ledger.done["decided"] and manifest.exists(f"{work}/placed/_SUCCESS")):

@@ -116,6 +116,12 @@ def test_modes_and_resume(spark, tmp_path):
         dataset.build(spark, docs, [("a", 100)], recipe(resume=True, seed=1))
     assert dataset.build(spark, docs, [("a", 100)], recipe(resume=True)) == first
     (root / "manifest.json").unlink()  # as if cut off before it was published
+    ledger = json.loads((root / "progress.json").read_text())
+    for wrong in ({"version": 9}, {"counted": {"00000": ["other"]}}, {"counted": {"0": ["a"], "1": ["a"]}}, {"shards": 5}):
+        (root / "progress.json").write_text(json.dumps(ledger | wrong))
+        with pytest.raises(ValueError):
+            dataset.build(spark, docs, [("a", 100)], recipe(resume=True))
+    (root / "progress.json").write_text(json.dumps(ledger))
     (root / "train" / "orphan.tmp").write_bytes(b"x")
     assert dataset.build(spark, docs, [("a", 100)], recipe(resume=True)) == first
     assert {p.name: p.read_bytes() for p in root.glob("*/*")} == bytes_
