@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import shared_dir
 
 #: Most bytes of one Arrow batch handed to a Python worker, so that very long texts keep its memory bounded.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

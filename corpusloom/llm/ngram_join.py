@@ -50,7 +50,9 @@ from corpusloom.llm.components import components
 HEAVY_DF = 16
 MAX_HEAVY = 1 << 20
 #: Shingles that one block of the frequency count holds.
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 2_000_000
+#: Words whose hashes a task keeps, and classes and groups that it knows to have sent.
+CODES, SENT = 1 << 17, 1 << 18
 #: Ids up to which the documents to compare are picked by broadcast; beyond, by a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
 #: Star rounds at most; they end when one links no more than a STAR_SHARE-th of the first.
@@ -67,7 +69,7 @@ class Shingler:
 
         class Codes(dict):
             def __missing__(self, word):
-                if len(self) >= 1_000_000:
+                if len(self) >= CODES:
                     self.clear()
                 self[word] = code = xxhash.xxh3_64_intdigest(word)
                 return code
@@ -197,7 +199,7 @@ def signatures(docs: DataFrame, words: int, percent: int, counted: tuple[np.ndar
             if key in sent:
                 return False
             sent[key] = None
-            if len(sent) > 1_000_000:
+            if len(sent) > SENT:
                 sent.popitem(last=False)
             return True
 
@@ -209,8 +211,8 @@ def signatures(docs: DataFrame, words: int, percent: int, counted: tuple[np.ndar
                 if len(h):
                     cid, first = _class_id(h), prefix(h, heavy, counts, percent)
                     gid = _class_id(np.append(first, np.uint64(len(h))))
-                    own = print_of(h) if new((0, cid)) else None
-                    first = first if new((1, gid)) else None
+                    own = print_of(h) if new(cid) else None
+                    first = first if new(~gid) else None
                 for c, v in zip(cols, (doc_id, len(h), cid, gid)):
                     c.append(v)
                 keys.append(None if first is None else _signed(first))
