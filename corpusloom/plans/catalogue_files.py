@@ -160,14 +160,11 @@ def token_report(spark, sf_dir):
 @query(f"""select conv_id, turn, regexp_replace(text, {STRIP}) || role as answer, role || 'ab' as without_channel, substr(text, 1, 128) as head, upper(role) as upper_role from conversations""")
 def thinking_removed(spark, sf_dir):
     """What follows a thinking block, text without channels, the first code points, and upper case."""
-    thought = F.concat(F.lit("<think>"), "text", F.lit("</think>\n"), strip_("text"), "role")
+    thought = F.concat(F.lit("<think>"), "text", F.lit("</think>\n"), text.strip("text"), "role")
     channels = F.concat(F.lit("  "), "role", F.lit("a<|channel>thought\n"), "text", F.lit("<channel|>b "))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.after_thinking(thought).alias("answer"), text.without_channels(channels).alias("without_channel"), text.prefix(F.col("text")).alias("head"), F.upper("role").alias("upper_role"))
 
 
-strip_ = text.strip
-
-
 @query("""select conv_id, turn, text as thinking, role as content, ['f', 'g'] as names, ['{a:1}', '{t:' || turn || '}'] as arguments from conversations""")
 def response_parse(spark, sf_dir):
     """Model turns taken apart: thinking, calls and content."""
@@ -198,18 +195,15 @@ LAST = "r as (select *, min(turn) over (partition by conv_id) as first, max(turn
 
 
 @query(f"""with {LAST} select conv_id, '<|startoftext|>' || string_agg('<|im_start|>' || role || {NL} || case when role = 'assistant' and turn = last then '<think>because' || turn || '</think>' else '' end ||
-case when role = 'assistant' then '<|tool_call_start|>[lookup(turn=' || turn || ', who="user")]<|tool_call_end|>' else '' end || text || '<|im_end|>' || {NL}, '' order by turn) filter (true) as transcript from r group by conv_id""")
+case when role = 'assistant' then '<|tool_call_start|>[lookup(turn=' || turn || ', who="user")]<|tool_call_end|>' else '' end || text || '<|im_end|>' || {NL}, '' order by turn) as transcript from r group by conv_id""")
 def chat_rich_calls(spark, sf_dir):
     """Rich transcripts with thoughts and calls: thoughts are shown in the last reply alone."""
     rows = _messages(spark, sf_dir, thinking=_if_assistant(F.concat(F.lit("because"), F.col("turn").cast("string"))), tool_calls=_call("lookup", turn=F.col("turn"), who=F.lit("user")))
     return rows.select("conv_id", chat_rich.render(F.col("messages"), "rich").alias("transcript"))
 
 
-@query(f"""with {LAST}, t as (select *, regexp_replace(text, {STRIP}) as s from r),
-g as (select *, before = 'assistant' and role = 'user' as is_result, after = 'user' as has_result from t),
-p as (select conv_id, turn, case when turn = first and role = 'system' then '<|turn>system' || {NL} || s || '<turn|>' || {NL} when is_result then ''
-when role = 'assistant' then case when lag(role) over (partition by conv_id order by turn) = 'assistant' or lag(grp) over (partition by conv_id order by turn) then '' else '' end else '<|turn>' || role || {NL} || s || '<turn|>' || {NL} end as piece from (select *, false as grp from g))
-select conv_id, sum(case when role = 'assistant' and after = 'user' then 1 else 0 end)::bigint as results, sum(case when role = 'assistant' then 1 else 0 end)::bigint as calls, string_agg(case when role = 'user' and before = 'assistant' then s end, '|' order by turn) as answers from g group by conv_id""")
+@query(f"""with {LAST}, t as (select *, regexp_replace(text, {STRIP}) as s from r)
+select conv_id, sum(case when role = 'assistant' and after = 'user' then 1 else 0 end)::bigint as results, sum(case when role = 'assistant' then 1 else 0 end)::bigint as calls, string_agg(case when role = 'user' and before = 'assistant' then s end, '|' order by turn) as answers from t group by conv_id""")
 def chat_tool_results(spark, sf_dir):
     """Transcripts by turns in which the user's words after a reply are the result of its call: results, calls, and the
     results' texts with the name of their call."""
