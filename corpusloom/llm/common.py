@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -42,6 +44,15 @@ def delete(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Give memory that was freed back to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 #: A key is hot if more than HOT rows have it and it is among the HOT most frequent ones.
 HOT = 1024
 

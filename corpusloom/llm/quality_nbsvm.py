@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_rows, prepare, smallest_hashes, table
+from corpusloom.llm.common import map_rows, prepare, smallest_hashes, table, trim
 
 #: Bound on the labelled rows that the model is fitted on.
 MAX_TRAIN = 4000
@@ -131,7 +131,7 @@ def _svm(grams: list[np.ndarray], y: np.ndarray, width: int) -> tuple[np.ndarray
     for ids in grams:
         v = ratio[ids]
         norm = math.sqrt(float(v @ v)) or 1.0
-        rows.append(np.append(ids, width).astype(np.int64))
+        rows.append(np.append(ids, width).astype(np.int32))
         values.append(np.append(v / norm, 1.0))
     share = np.where(y > 0, (y > 0).mean(), (y <= 0).mean())
     w = dual_coordinate_descent(rows, values, np.sign(y), C * 0.5 / share, width + 1, EPOCHS)
@@ -171,7 +171,8 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
         df.update(g for g in ngrams(t, shapes) if buckets[hash(g) & (len(buckets) - 1)] >= MIN_DF)
     # sorted, so that the fit doesn't depend on set order
     vocab = {g: i for i, g in enumerate(sorted((g for g, k in df.items() if k >= MIN_DF), key=repr))}
-    grams = [np.array(sorted(vocab[g] for g in ngrams(t, shapes) if g in vocab), np.int64) for t in texts]
+    del df, buckets
+    grams = [np.array(sorted(vocab[g] for g in ngrams(t, shapes) if g in vocab), np.int32) for t in texts]
     y = np.where(np.array(labels) == 1, 1.0, -1.0)
     fold = np.arange(n) % 3
     margins = np.zeros(n)
@@ -214,7 +215,10 @@ def sample(texts: DataFrame, labels: DataFrame, usable: Column | None = None, ma
 
 def train(texts: DataFrame, labels: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAIN) -> Model:
     rows = sample(texts, labels, usable, max_train)
-    return fit([t for t, _ in rows], [q for _, q in rows])
+    model = fit([t for t, _ in rows], [q for _, q in rows])
+    del rows
+    trim()  # what the fit took would stay with the driver through later stages
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
