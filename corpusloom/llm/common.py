@@ -44,9 +44,11 @@ def delete(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def trim() -> None:
-    """Give memory that was freed back to the system, where the C library can."""
+def trim(spark: SparkSession) -> None:
+    """Let go of what earlier jobs left with the driver: plans, and by them the cluster's shuffle files and broadcast blocks,
+    which Spark removes when the driver's heap is collected; and give freed memory back, where the C library can."""
     gc.collect()
+    spark._jvm.System.gc()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import HOT, delete, join_unique, materialise, prepare, table
+from corpusloom.llm.common import HOT, delete, join_unique, materialise, prepare, table, trim
 from corpusloom.llm.components import components
 
 #: Documents from which a shingle counts as frequent, and how many frequent shingles the order holds.
@@ -56,7 +56,7 @@ CODES, SENT = 1 << 17, 1 << 18
 #: Ids up to which the documents to compare are picked by broadcast; beyond, by a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
 #: Star rounds at most; they end when one links no more than a STAR_SHARE-th of the first.
-STAR_ROUNDS, STAR_SHARE = 8, 50
+STAR_ROUNDS, STAR_SHARE = 8, 20
 #: Pairs of one text that are compared in one task.
 SALT_PAIRS = 256
 
@@ -405,6 +405,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if n:
             units = merged(units, links)
         delete(links)
+        trim(docs.sparkSession)
         if n * STAR_SHARE <= most:
             break
 
@@ -412,6 +413,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     done = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = materialise(rest.join(done, ["u", "v"], "left_anti"), "untried")
     links = verified(rest, docs, sig, names, words, percent)
+    trim(docs.sparkSession)
     if not links.isEmpty():
         units = merged(units, links)
 

@@ -217,7 +217,7 @@ def train(texts: DataFrame, labels: DataFrame, usable: Column | None = None, max
     rows = sample(texts, labels, usable, max_train)
     model = fit([t for t, _ in rows], [q for _, q in rows])
     del rows
-    trim()  # what the fit took would stay with the driver through later stages
+    trim(texts.sparkSession)  # what the fit took would stay with the driver through later stages
     return model
 
 
