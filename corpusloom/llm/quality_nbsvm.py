@@ -60,7 +60,7 @@ class _Shapes(dict):
     """Memo of shapes, emptied when large."""
 
     def __missing__(self, word: str) -> str:
-        if len(self) >= 400_000:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = s = shape(word) if len(word) <= 64 else "long"
         return s
