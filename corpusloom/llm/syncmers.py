@@ -32,6 +32,8 @@ from corpusloom.llm.common import hot_keys, map_rows, prepare, table
 
 K, S = 16, 4
 SLOTS = 64
+#: Blocks of rows in the order of doc_id, for each task that reads them.
+BLOCKS = 8
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -148,7 +150,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     ord_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), ord_.alias("ord"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs._jdf.queryExecution().toRdd().getNumPartitions())
-    found = rows.select("ord").stat.approxQuantile("ord", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
+    points = BLOCKS * n  # several a task, so that the hash deals them out evenly
+    found = rows.select("ord").stat.approxQuantile("ord", [i / points for i in range(1, points)], 1 / (4 * points)) if points > 1 else []
     hot = [r.ord for r in hot_keys(rows.select("ord"), ["ord"])]
     cuts = np.array(sorted({*(int(min(max(x, -(2.0**63)), 2.0**62)) for x in found), *hot}), np.int64)
     shared = spark.sparkContext.broadcast((cuts, np.isin(cuts, hot)))  # a number for each scan partition and hot doc_id
