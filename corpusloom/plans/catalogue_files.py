@@ -116,17 +116,7 @@ def bundle_round_trip(spark, sf_dir):
     ranks = {bytes([b]): b for b in range(256)}
     tokenizers.export_bundle(folder, "bytes", tokenizers.SPLIT_PATTERN, ranks, {"<bos>": 256, "<eos>": 257})
     docs = table(spark, sf_dir, "documents").where("text is not null")
-
-    @F.pandas_udf("array<long>")
-    def framed(texts):
-        return texts.map(tokenizers.load(folder, "<bos>", "<eos>").encode).map(lambda x: [256, *x, 257])
-
-    @F.pandas_udf("string")
-    def decoded(ids):
-        return ids.map(lambda x: tokenizers.load(folder).decode(list(x), skip_special=True))
-
-    rows = docs.select("doc_id", "text", framed("text").alias("ids"))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"), (decoded("ids") == F.col("text")).alias("round_trip"))
+    return docs.select("doc_id", tokenizers.round_trips(folder, F.col("text"), "<bos>", "<eos>").alias("r")).select("doc_id", "r.*")
 
 
 @query(r"""with w as (select unnest(regexp_extract_all(text, '\S+')) as w from documents), r as (select w, row_number() over (order by count(*) desc, w) - 1 as rank from w group by w) select hex(encode(w)) as token_hex, rank::int as rank from r where rank < 500""")
