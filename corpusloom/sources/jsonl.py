@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.pieces import pieces
 from corpusloom.sources.manifest import filesystem, qualify
 
 SUFFIXES = (".jsonl.zst", ".jsonl.gz")
@@ -45,15 +46,16 @@ def parse_line(raw: str) -> tuple[str, str | None]:
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     path, line = None, 0
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if at != path:
-                path, line = at, 0
-            status, text = parse_line(raw)
-            for column, value in zip(out, (posixpath.basename(posixpath.dirname(at)), posixpath.basename(at), line, status, text)):
-                column.append(value)
-            line += 1
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=["subset", "shard", "line_idx", "parse_status", "text"])
+        for start, rows in pieces(batch.column(1)):
+            out: list[list] = [[], [], [], [], []]
+            for at, raw in zip(*(c.slice(start, rows).to_pylist() for c in batch.columns[:2])):
+                if at != path:
+                    path, line = at, 0
+                status, text = parse_line(raw)
+                for column, value in zip(out, (posixpath.basename(posixpath.dirname(at)), posixpath.basename(at), line, status, text)):
+                    column.append(value)
+                line += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=["subset", "shard", "line_idx", "parse_status", "text"])
 
 
 def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -95,15 +97,16 @@ def write(lines: DataFrame, root: str) -> None:
 
         aside_end = f".{uuid.uuid4().hex}.tmp"
         for batch in batches:
-            for subset, shard, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if (subset, shard) != key:
-                    close()
-                    key = (subset, shard)
-                    files.append(f"{root}/{subset}/{shard}{SUFFIXES[0]}")
-                    store, place = filesystem(files[-1] + aside_end)
-                    store.create_dir(place.rpartition("/")[0], recursive=True)
-                    out = pa.CompressedOutputStream(store.open_output_stream(place, compression=None), "zstd")
-                out.write(raw.encode() + b"\n")
+            for start, rows in pieces(batch.column(2)):
+                for subset, shard, raw in zip(*(c.slice(start, rows).to_pylist() for c in batch.columns)):
+                    if (subset, shard) != key:
+                        close()
+                        key = (subset, shard)
+                        files.append(f"{root}/{subset}/{shard}{SUFFIXES[0]}")
+                        store, place = filesystem(files[-1] + aside_end)
+                        store.create_dir(place.rpartition("/")[0], recursive=True)
+                        out = pa.CompressedOutputStream(store.open_output_stream(place, compression=None), "zstd")
+                    out.write(raw.encode() + b"\n")
         close()
         yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], names=["file"])
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.functions import pieces, tokenizers
+from corpusloom.sources import jsonl
 
 #: MB that a worker may grow by, libraries included, over a batch of 40 MB of text.
 MOST_MB = 350
@@ -87,3 +88,21 @@ def test_bundle_round_trip_holds_the_ids_of_a_text(spark, tmp_path, monkeypatch)
     docs = long_texts(spark).select(F.col("id").alias("doc_id"), F.col("t").alias("text"))
     monkeypatch.setattr(catalogue_files, "table", lambda *_: docs)
     assert grown(lambda: noop(catalogue_files.bundle_round_trip(spark, ""))) < MOST_MB
+
+
+def test_json_lines_are_written_and_scanned_in_pieces(spark, tmp_path):
+    rows = long_texts(spark, 6000, 9900).withColumn("t", F.concat("t", F.lit("🙂")))  # a character that makes Python's text four times as large
+    lines = rows.select(F.lit("a").alias("subset"), F.lit("s").alias("shard"), F.col("id").alias("line_idx"), F.to_json(F.struct(F.col("t").alias("text"))).alias("raw"))
+    assert grown(lambda: jsonl.write(lines, str(tmp_path))) < MOST_MB
+    scanned = jsonl.scan(spark, [f"{tmp_path}/a/*.jsonl.zst"])
+    assert grown(lambda: noop(scanned)) < MOST_MB
+    assert scanned.where("parse_status = 'parsed'").join(rows, (F.col("line_idx") == F.col("id")) & (F.col("text") == F.col("t"))).count() == 6000
+
+
+def test_ladder_of_written_lines_in_pieces(spark, tmp_path, monkeypatch):
+    """Numbers go on from piece to piece and begin anew with each shard."""
+    monkeypatch.setattr(pieces, "PIECE_BYTES", 10)
+    batches = [pa.RecordBatch.from_arrays([pa.array(["/r/a/s0"] * 5 + ["/r/a/s1"] * 2), pa.array(['{"text": " x "}', "null", "", "[]", "{}", '{"text": "y"}', "z"])], names=["path", "raw"]), pa.RecordBatch.from_arrays([pa.array(["/r/a/s1"]), pa.array(['{"text": 1}'])], names=["path", "raw"])]
+    got = [tuple(r.values()) for b in jsonl._numbered(iter(batches)) for r in b.to_pylist()]
+    bad = lambda s, i: ("a", s, i, "malformed", None)
+    assert got == [("a", "s0", 0, "parsed", "x"), bad("s0", 1), bad("s0", 2), bad("s0", 3), ("a", "s0", 4, "parsed", ""), ("a", "s1", 0, "parsed", "y"), bad("s1", 1), ("a", "s1", 2, "parsed", "")]
