@@ -106,3 +106,12 @@ def test_ladder_of_written_lines_in_pieces(spark, tmp_path, monkeypatch):
     got = [tuple(r.values()) for b in jsonl._numbered(iter(batches)) for r in b.to_pylist()]
     bad = lambda s, i: ("a", s, i, "malformed", None)
     assert got == [("a", "s0", 0, "parsed", "x"), bad("s0", 1), bad("s0", 2), bad("s0", 3), ("a", "s0", 4, "parsed", ""), ("a", "s1", 0, "parsed", "y"), bad("s1", 1), ("a", "s1", 2, "parsed", "")]
+
+
+def test_ids_are_encoded_in_pieces(spark):
+    docs = long_texts(spark)
+    rows = docs.select("id", "t", tokenizers.ids("utf8_bytes", F.col("t"), True, True).alias("ids"))
+    assert grown(lambda: noop(rows.select("id", F.size("ids")))) < MOST_MB
+    assert rows.where((F.size("ids") == F.length("t") + 2) & (F.element_at("ids", 1) == 1) & (F.element_at("ids", -1) == 2) & (F.element_at("ids", 2) == ord("a") + 3)).count() == 8000
+    odd = spark.createDataFrame([(0, None), (1, ""), (2, "é")], "i int, t string").coalesce(1)
+    assert {r.i: r.x for r in odd.select("i", tokenizers.ids("utf8_bytes", F.col("t"), False, True).alias("x")).collect()} == {0: None, 1: [2], 2: [198, 172, 2]}
